@@ -41,13 +41,17 @@ def mark() -> int:
     return len(_written)
 
 
-def drop_cuts(spark: SparkSession, since: int = 0, but: int = 0) -> None:
-    """Delete what ``cut`` wrote after ``since``, but for the last ``but`` tables; nothing may read it any more."""
-    gone = _written[since : len(_written) - but]
-    del _written[since : len(_written) - but]
-    for path in gone:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def cuts_since(start: int) -> list[str]:
+    return _written[start:]
+
+
+def drop_cuts(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that ``cut`` wrote; nothing may read them any more."""
+    for path in paths:
+        if path in _written:
+            _written.remove(path)
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def rekey(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, drop_cuts, mark, rekey
+from keyloom.llm.common import cut, cuts_since, drop_cuts, mark, rekey
 
 
 def _least_neighbour(sym: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.u", "e.v").where("u > v").distinct()
         )
-        drop_cuts(edges.sparkSession, start, but=1)
+        drop_cuts(edges.sparkSession, cuts_since(start)[:-1])
         now = live.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -225,3 +225,20 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     out = sigs.join(to, (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of ``docs`` for each component, with its columns: the one with the smallest doc_id, once if it is repeated.
+
+    Rows with a null doc_id stay. Texts are not shuffled unless an id is repeated
+    or the ids that go are too many to send to every executor.
+    """
+    names = [f"`{c}`" for c in docs.columns]
+    found = cut(near_duplicates(docs, threshold).where("doc_id is not null"))
+    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    stay = docs.join(small(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*names)
+    again = cut(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    if again.isEmpty():
+        return stay
+    is_again = F.col("doc_id").cast("long") == F.col("_again")
+    return stay.join(small(again), is_again, "left_anti").select(*names).unionByName(stay.join(small(again), is_again, "left_semi").select(*names).dropDuplicates(["doc_id"]))
