@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, langid, near_dup, packing, pii, toxicity
+from keyloom.llm import decontam, langid, near_dup, packing, pii, token_store, toxicity
 from keyloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.token_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op4_minhash_near_dedup, op6_pii, op8_toxicity, op9_best_fit_packing)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_store, op4_minhash_near_dedup, op6_pii, op8_toxicity, op9_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
