@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, langid, near_dup, packing, pii, token_store, toxicity
+from keyloom.llm import decontam, langid, near_dup, packing, pii, token_store, toxicity, warc
 from keyloom.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_store, op4_minhash_near_dedup, op6_pii, op8_toxicity, op9_best_fit_packing)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_store, op4_minhash_near_dedup, op5_warc, op6_pii, op8_toxicity, op9_best_fit_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
