@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, langid, near_dup, packing, pii, token_store, toxicity, warc
+from keyloom.llm import decontam, embed_dup, langid, near_dup, packing, pii, token_store, toxicity, warc
 from keyloom.llm.common import table
 
 
@@ -42,8 +42,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_store, op4_minhash_near_dedup, op5_warc, op6_pii, op8_toxicity, op9_best_fit_packing)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_store, op4_minhash_near_dedup, op5_warc, op6_pii, op8_toxicity, op9_best_fit_packing, op10_embedding_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
