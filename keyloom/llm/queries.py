@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import decontam, embed_dup, langid, near_dup, packing, pii, token_store, toxicity, warc
+from keyloom.llm import decontam, embed_dup, langid, license_scan, near_dup, packing, pii, token_store, toxicity, warc
 from keyloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,7 +51,7 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_store, op4_minhash_near_dedup, op5_warc, op6_pii, op8_toxicity, op9_best_fit_packing, op10_embedding_near_dedup)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_store, op4_minhash_near_dedup, op5_warc, op6_pii, op7_license_scan, op8_toxicity, op9_best_fit_packing, op10_embedding_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {}
