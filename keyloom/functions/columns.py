@@ -103,6 +103,11 @@ def slot(key: Column, slots: int = 16384) -> Column:
     return F.aggregate(steps, F.lit(0xFFFF), step, lambda c: c.bitwiseXOR(0xFFFF) % slots)
 
 
+def epoch_millis(ts: Column) -> Column:
+    """Milliseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), ts)
+
+
 def number_text(x: Column) -> Column:
     """A score as text: whole numbers without a fraction, others in the shortest form that reads back."""
     return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("bigint").cast("string")).otherwise(x.cast("string"))

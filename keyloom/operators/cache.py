@@ -10,7 +10,7 @@ from keyloom.functions.columns import capturing_glob, matches
 
 def horizons(stored_at: Column, ttl: Column, swr: Column, grace: Column) -> dict[str, Column]:
     """CACHE.SET: until when an entry is fresh, served while it is revalidated, served in grace (seconds)."""
-    after = lambda s: F.timestamp_seconds(F.unix_seconds(stored_at) + s)
+    after = lambda s: stored_at + F.make_dt_interval(secs=s)
     zero = F.lit(0)
     t, s, g = (F.coalesce(c, zero) for c in (ttl, swr, grace))
     return {"fresh_until": after(t), "swr_until": after(t + s), "grace_until": after(t + s + g)}

@@ -60,7 +60,7 @@ def wrong_types(types: DataFrame, key: str = "key") -> DataFrame:
 
 def ttl(df: DataFrame, now: Column, expire_at: str = "expire_at") -> DataFrame:
     """TTL and PTTL: whole seconds and milliseconds left, -1 without expiry, -2 if expired."""
-    left = F.unix_millis(expire_at) - F.unix_millis(now)
+    left = F.timestamp_diff("MILLISECOND", now, F.col(expire_at))
     code = lambda v: F.when(F.col(expire_at).isNull(), F.lit(-1)).when(left <= 0, F.lit(-2)).otherwise(v).cast("bigint")
     return df.withColumn("ttl", code(F.floor(left / 1000))).withColumn("pttl", code(left))
 

@@ -1,4 +1,8 @@
-"""Every query of the keyspace operators, by name, with the equivalent SQL."""
+"""Every query of the keyspace operators, by name, with the equivalent SQL.
+
+A query maps driver tables to keyspace rows, applies one operator in bulk and
+returns flat columns. The SQL states the same result for DuckDB.
+"""
 
 from __future__ import annotations
 
@@ -8,3 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """Tables of one folder, read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Register a function of ``Tables`` under its own name."""
+
+    def register(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+from keyloom.plans import collection_queries, string_queries, stream_queries, zset_queries  # noqa: E402, F401
