@@ -59,7 +59,7 @@ def byte_bit_count(value: Column) -> Column:
 def to_bytes(bits: DataFrame, keys: list[str], bit: str = "bit") -> DataFrame:
     """The bytes of each bitmap. Bits are gathered by byte first; a value is one row, as in the store."""
     byte = F.floor(F.col(bit) / 8).cast("bigint")
-    each = bits.groupBy(*keys, byte.alias("_b")).agg(F.bit_or(F.shiftleft(F.lit(1), (7 - F.col(bit) % 8).cast("int"))).alias("_v"))
+    each = bits.groupBy(*keys, byte.alias("_b")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (7 - F.col(bit) % 8).cast("int"))).alias("_v"))
     m = F.map_from_entries(F.collect_list(F.struct("_b", "_v")))
     hexes = F.transform(F.sequence(F.lit(0).cast("bigint"), F.max("_b")), lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at(m, i), F.lit(0))), 2, "0"))
     return each.groupBy(*keys).agg(F.unhex(F.array_join(hexes, "")).alias("value"))
