@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.llm import decontam, embed_dup, langid, license_scan, near_dup, packing, pii, token_store, toxicity, warc
 from keyloom.llm.common import table
+from keyloom.llm.sql import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,5 +54,3 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_decontamination, op3_token_store, op4_minhash_near_dedup, op5_warc, op6_pii, op7_license_scan, op8_toxicity, op9_best_fit_packing, op10_embedding_near_dedup)
 }
-
-ORACLE_SQL: dict[str, str] = {}
