@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, small
+from keyloom.llm.common import cut, small, unused
 from keyloom.llm.shingles import WordHashes, shingle_stream
 
 SKETCH = 64
@@ -121,6 +121,7 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: int = CONTAI
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no item, with their columns. Rows that share an id, null included, go together."""
-    bad = cut(contained_items(docs, items).select(F.col("doc_id").alias("_contaminated")).distinct())
+    key = unused(docs, "_contaminated")
+    bad = cut(contained_items(docs, items).select(F.col("doc_id").alias(key)).distinct())
     names = [f"`{c}`" for c in docs.columns]
-    return docs.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("_contaminated")), "left_anti").select(*names)
+    return docs.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti").select(*names)

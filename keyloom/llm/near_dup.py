@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, rekey, small
+from keyloom.llm.common import cut, rekey, small, unused
 from keyloom.llm.graph import components
 from keyloom.llm.shingles import WordHashes, mix, shingle_set
 
@@ -233,12 +233,13 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     Rows with a null doc_id stay. Texts are not shuffled unless an id is repeated
     or the ids that go are too many to send to every executor.
     """
-    names = [f"`{c}`" for c in docs.columns]
+    names, key = [f"`{c}`" for c in docs.columns], unused(docs, "_of")
+    matched = F.col("doc_id").cast("long") == F.col(key)
     found = cut(near_duplicates(docs, threshold).where("doc_id is not null"))
-    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    stay = docs.join(small(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti").select(*names)
-    again = cut(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
+    stay = docs.join(small(gone), matched, "left_anti").select(*names)
+    again = cut(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)))
     if again.isEmpty():
         return stay
-    is_again = F.col("doc_id").cast("long") == F.col("_again")
-    return stay.join(small(again), is_again, "left_anti").select(*names).unionByName(stay.join(small(again), is_again, "left_semi").select(*names).dropDuplicates(["doc_id"]))
+    once = stay.join(small(again), matched, "left_semi").select(*names).dropDuplicates(["doc_id"])
+    return stay.join(small(again), matched, "left_anti").select(*names).unionByName(once)

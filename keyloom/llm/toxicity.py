@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, held_out
+from keyloom.llm.common import cut, held_out, unused
 
 #: Bound of the sample: labelled rows of each class, the first by a hash of the id.
 SAMPLE = {1: 4000, 0: 8000}
@@ -180,7 +180,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their columns."""
-    name = "_toxicity"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "_toxicity")
     return with_scores(docs, labels, name).where(F.col(name) < THRESHOLD).select(*(F.col(f"`{c}`") for c in docs.columns))
