@@ -1,6 +1,6 @@
 """Toxicity scores from a linear classifier with a counterfactual penalty.
 
-Features are the presence of words and of word beginnings. The model is a
+Features are the presence of words, of word beginnings and of repeated words. The model is a
 logistic regression fitted on the driver over a bounded sample of labelled
 rows. For every sampled text that names a group (``IDENTITY``), copies are made
 in which the name is swapped for others of the list, and the squared change of
@@ -10,6 +10,7 @@ the score is added to the loss, so that naming a group moves no score by itself.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ SAMPLE = {1: 4000, 0: 8000}
 FEATURES = 4096
 MIN_ROWS = 3
 THRESHOLD = 0.7
-RIDGE, FAIRNESS = 1e-4, 2.0
+RIDGE, FAIRNESS = 1e-5, 2.0
 #: Neutral names of groups that are swapped for one another.
 IDENTITY = (
     "women men girls boys gay straight lesbian bisexual transgender black white asian latino "
@@ -40,9 +41,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(text: str | None) -> set[str]:
-    """Distinct words of a text in lower case, and their first four and five letters marked by a hat."""
-    found = set(_WORD.findall((text or "").lower()))
-    return found | {"^" + w[:4] for w in found if len(w) > 4} | {"^" + w[:5] for w in found if len(w) > 5}
+    """Distinct words of a text in lower case, their first four and five letters behind a hat, and repeated words behind a plus."""
+    words = _WORD.findall((text or "").lower())
+    found = set(words)
+    again = {"+" + w for w, n in Counter(words).items() if n > 1} if len(found) < len(words) else set()
+    return found | again | {"^" + w[:4] for w in found if len(w) > 4} | {"^" + w[:5] for w in found if len(w) > 5}
 
 
 def swapped(text: str, identity: list[str]) -> list[str]:
@@ -109,7 +112,7 @@ def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.fromiter((i for r in rows for i in r), dtype=np.int64)
 
 
-def fit_weights(x: list[list[int]], y: np.ndarray, swaps: list[list[list[int]]], size: int, ridge: float = RIDGE, fairness: float = FAIRNESS, steps: int = 400) -> np.ndarray:
+def fit_weights(x: list[list[int]], y: np.ndarray, swaps: list[list[list[int]]], size: int, ridge: float = RIDGE, fairness: float = FAIRNESS, steps: int = 600) -> np.ndarray:
     """Weights of ``size`` features and the bias, by Adam over the whole sample."""
     w = np.zeros(size + 1)
     r, c = _csr(x)
