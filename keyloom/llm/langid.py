@@ -34,7 +34,7 @@ def normalised(text: str | None) -> bytes:
 
 
 def learn(docs: DataFrame, samples: int = SAMPLES) -> dict[str, bytes]:
-    """language -> dictionary content, from at most about ``2 * samples`` training rows a language.
+    """language -> dictionary content, the most frequent language first, from at most about ``2 * samples`` training rows a language.
 
     Rows are picked by a hash of their id at a rate that follows from the number
     of rows of the language, so no group is gathered; each gives one passage from
@@ -52,12 +52,12 @@ def learn(docs: DataFrame, samples: int = SAMPLES) -> dict[str, bytes]:
     for r in sorted(picked, key=lambda r: (r["lang"], -1 if r["doc_id"] is None else r["doc_id"], r["text"])):
         if len(have := out.get(r["lang"], b"")) < DICTIONARY:
             out[r["lang"]] = have + normalised(r["text"]) + b" "
-    return {k: v[:DICTIONARY] for k, v in out.items() if v.strip()}
+    return {k: out[k][:DICTIONARY] for k in sorted(n, key=lambda k: (-n[k], k)) if out.get(k, b"").strip()}
 
 
 def classifier(dictionaries: dict[str, bytes], margin: float = MARGIN):
-    """A function of a text column: struct of lang, score and accepted."""
-    names = sorted(dictionaries)
+    """A function of a text column: struct of lang, score and accepted. On equal sizes the earlier dictionary wins."""
+    names = list(dictionaries)
 
     @F.pandas_udf("lang string, score double, accepted boolean")
     def classify(texts: pd.Series) -> pd.DataFrame:
@@ -92,7 +92,7 @@ def language(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     without a letter, and where no language could be learnt. ``score`` is the
     share by which the best size undercuts the second best; below the margin
     ``accepted`` is false, while ``lang_pred`` still names the best. On a tie the
-    first language in order wins with score 0. Rows with a null id are never held
+    language with more training rows wins, with score 0. Rows with a null id are never held
     out; rows with a null or unlearnt lang are classified like all others.
     """
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), classifier(learn(docs, samples))(F.col("text")).alias("c"))
