@@ -111,3 +111,31 @@ def pick(df: DataFrame, keys: list[str], member: str, count: int, seed: int = 0,
     n = ranked.groupBy(*keys).agg(F.max("_r").alias("_n"))
     draws = n.withColumn("_draw", F.explode(F.sequence(F.lit(1), F.lit(count)))).withColumn("_r", (F.pmod(F.xxhash64(*keys, "_draw", F.lit(seed)), F.col("_n")) + 1).cast("int"))
     return draws.join(ranked, [*keys, "_r"]).drop("_r", "_n", "_draw")
+
+
+#: Eviction policies as orders of (last_access, uses, expire_at): what goes first.
+POLICIES = {
+    "allkeys-lru": ("last_access",), "volatile-lru": ("last_access",), "allkeys-lfu": ("uses", "last_access"), "volatile-lfu": ("uses", "last_access"),
+    "volatile-ttl": ("expire_at",), "allkeys-random": (), "volatile-random": (),
+}
+
+
+def evict_by(df: DataFrame, policy: str, size: str, budget: int, key: str = "key", seed: int = 0) -> DataFrame:
+    """Rows that a policy evicts; volatile ones consider keys with an expiry only, random ones go by a hash. noeviction gives none."""
+    if policy == "noeviction":
+        return df.limit(0)
+    order = [F.col(c) for c in POLICIES[policy]] or [F.xxhash64(key, F.lit(seed))]
+    if not policy.startswith("volatile"):
+        return evict(df, [*order, F.col(key)], size, budget)
+    rest = df.where(F.col("expire_at").isNull()).agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
+    return evict(df.where(F.col("expire_at").isNotNull()), [*order, F.col(key)], size, budget - rest)
+
+
+def memory_usage(tables: dict[str, DataFrame], key: str = "key") -> DataFrame:
+    """MEMORY USAGE: bytes of the elements of each key (an estimate; the key itself once)."""
+    out = None
+    for df in tables.values():
+        width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns if c != key), F.lit(0))
+        one = df.groupBy(key).agg(F.sum(width).alias("bytes"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy(key).agg((F.sum("bytes") + F.octet_length(F.first(F.col(key).cast("string")))).cast("bigint").alias("bytes"))

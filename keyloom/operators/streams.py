@@ -109,3 +109,20 @@ def xautoclaim(pel: DataFrame, now_ms: int, least_idle: int, start: str = "0-0",
     hits = idle(pel, now_ms, least_idle).where(_bound(start, True))
     w = Window.partitionBy(key).orderBy("delivered_ms", *ID)
     return hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= count).drop("_r")
+
+
+def group_cursor(deliveries: DataFrame, key: str = "key") -> DataFrame:
+    """XINFO GROUPS: last delivered id, entries read and consumers of each stream's group."""
+    text = lambda s: F.concat_ws("-", s["ts_ms"].cast("string"), s["seq"].cast("string"))
+    a = deliveries.groupBy(key).agg(F.max(F.struct(*ID)).alias("_b"), F.count("*").alias("entries_read"), F.count_distinct("consumer").alias("consumers"))
+    return a.select(key, text(F.col("_b")).alias("last_delivered"), "entries_read", "consumers")
+
+
+def history(pel: DataFrame, consumer: str, start: str = "0-0", key: str = "key") -> DataFrame:
+    """XREADGROUP with an id: the consumer's own pending entries from there on; counters stay."""
+    return pel.where((F.col("consumer") == consumer) & _bound(start, True))
+
+
+def del_consumer(pel: DataFrame, consumer: str) -> DataFrame:
+    """XGROUP DELCONSUMER: its pending entries go, from every index."""
+    return pel.where(F.col("consumer") != consumer)

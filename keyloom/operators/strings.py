@@ -71,3 +71,14 @@ def strlen(value: Column) -> Column:
 def getset(log: DataFrame, keys: list[str], value: str, seq: str = "seq") -> DataFrame:
     """GETSET: what each write returned, the value before it."""
     return log.withColumn("old", F.lag(value).over(Window.partitionBy(*keys).orderBy(seq)))
+
+
+def getdel(table: DataFrame, requests: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """GETDEL: (the values of the requested keys, the table without them)."""
+    asked = requests.select(key).distinct()
+    return table.join(asked, key, "left_semi"), table.join(asked, key, "left_anti")
+
+
+def setex(rows: DataFrame, now: Column, seconds: Column, expire_at: str = "expire_at") -> DataFrame:
+    """SETEX, PSETEX, GETEX EX: rows whose expiry is ``seconds`` (fractions allowed) after ``now``; a lifetime that is not positive is refused."""
+    return rows.where(seconds > 0).withColumn(expire_at, now + F.make_dt_interval(secs=seconds))

@@ -36,4 +36,5 @@ def query(sql: str | None = None):
     return register
 
 
-from keyloom.plans import collection_queries, string_queries, stream_queries, zset_queries  # noqa: E402, F401
+from keyloom.plans import collection_queries, string_queries, stream_queries, zset_queries  # noqa: E402, F401, I001
+from keyloom.plans import more_queries  # noqa: E402, F401

@@ -48,12 +48,14 @@ def decode(data: bytes) -> Iterator[list[str]]:
         yield args
 
 
-def read_aof(spark: SparkSession, path: str) -> DataFrame:
+def read_aof(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
     """(file, seq, tx_id, args) of log files, in order within each file; rows of one MULTI block share a tx_id, unfinished blocks are dropped.
 
     One file is one task: bytes of a log can't be split without reading what
-    stands before. A log is rotated into files of bounded size.
+    stands before. A log is rotated into files of bounded size. With ``stream`` new
+    files are read as they appear, as a replica follows its source.
     """
+    reader = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile") if stream else spark.read.format("binaryFile")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -72,7 +74,7 @@ def read_aof(spark: SparkSession, path: str) -> DataFrame:
                         rows.append((file, seq, None, args))
                 yield pd.DataFrame(rows, columns=["file", "seq", "tx_id", "args"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, seq long, tx_id string, args array<string>")
+    return reader.load(path).select("path", "content").mapInPandas(run, "file string, seq long, tx_id string, args array<string>")
 
 
 def write_aof(commands: DataFrame, path: str, args: str = "args") -> None:

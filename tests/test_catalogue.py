@@ -1,6 +1,7 @@
 """Every query with SQL gives what DuckDB gives on the same tables; the others give their rows."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from keyloom.plans import catalogue
@@ -18,7 +19,7 @@ def duck(sf_dir):
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("NULL" if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False))
+    return sorted(tuple("NULL" if pd.isna(v) else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE_SQL))

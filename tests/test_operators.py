@@ -279,3 +279,41 @@ def test_entry_points(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     if os.path.isdir("/root/testdata/sf0.001"):
         assert e.entry(spark).count() > 0
+
+
+def test_jsonpath():
+    from keyloom.functions.jsonpath import find, parse
+
+    doc = {"a": [{"b": 1, "c": "x"}, {"b": 5}, {"c": [1, 2, 3]}], "b": 9}
+    q = lambda p: find(doc, parse(p))
+    assert q("$..b") == [9, 1, 5] and q("$.a[*].b") == [1, 5] and q("$.a[-1].c[0:2]") == [1, 2]
+    assert q("$.a[?(@.b > 2)].b") == [5] and q("$.a[?(@.c)].b") == [1] and q("$['b','none']") == [9] and q("$") == [doc]
+    assert q("$.a[?(@.c == 'x')].b") == [1] and q("$.none.b") == []
+
+
+def test_scripts(spark):
+    from keyloom.functions.scripts import Scripts
+
+    def shout(values):
+        return values.str.upper() + "!"
+
+    def first_of_key(rows):
+        return rows.groupby("key", as_index=False).agg(n=("v", "count"))
+
+    s = Scripts()
+    sha = s.load(shout, "string")
+    assert s.exists(sha, "none") == [True, False]
+    assert one(spark, s.call(sha, F.lit("a"))) == "A!"
+    by_key = s.load(first_of_key, "key string, n long")
+    rows = spark.createDataFrame([("k", 1), ("k", 2), ("j", 3)], "key string, v long")
+    assert sorted(map(tuple, s.call_by_key(by_key, rows, "key").collect())) == [("j", 1), ("k", 2)]
+    s.flush()
+    assert s.exists(sha) == [False]
+
+
+def test_evict_policies(spark):
+    df = spark.createDataFrame([(i, i, i % 3, None if i % 2 else i, 10) for i in range(20)], "key int, last_access int, uses int, expire_at int, size int")
+    assert keyspace.evict_by(df, "noeviction", "size", 0).count() == 0
+    assert {r["key"] for r in keyspace.evict_by(df, "volatile-ttl", "size", 170).collect()} == {0, 2, 4}
+    assert {r["key"] for r in keyspace.evict_by(df, "allkeys-lfu", "size", 170).collect()} == {0, 3, 6}
+    assert keyspace.evict_by(df, "allkeys-random", "size", 150).count() == 5
