@@ -61,12 +61,17 @@ def classifier(dictionaries: dict[str, bytes], margin: float = MARGIN):
 
     @F.pandas_udf("lang string, score double, accepted boolean")
     def classify(texts: pd.Series) -> pd.DataFrame:
-        tools = []
-        for k in names:
-            d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=4, window_log=18, hash_log=17, chain_log=17, search_log=4, write_content_size=False)
-            d.precompute_compress(compression_params=how)
-            tools.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
+        def tools(least: int) -> list[zstandard.ZstdCompressor]:
+            out = []
+            for k in names:
+                d = zstandard.ZstdCompressionDict(dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY2, min_match=least, window_log=18, hash_log=17, chain_log=17, search_log=4, write_content_size=False)
+                d.precompute_compress(compression_params=how)
+                out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how))
+            return out
+
+        usual, finer = tools(4), []
+        passages = [dictionaries[k][:512] for k in names]
         lang, score, accepted = [], [], []
         for text in texts:
             t = normalised(text)
@@ -74,7 +79,12 @@ def classifier(dictionaries: dict[str, bytes], margin: float = MARGIN):
                 lang.append(UNKNOWN), score.append(0.0), accepted.append(False)
                 continue
             blocks = [t[i : i + BLOCK] for i in range(0, len(t), BLOCK)]
-            sizes = np.array([sum(len(z.compress(b)) for b in blocks) for z in tools], dtype=float)
+            sizes = np.array([sum(len(z.compress(b)) for b in blocks) for z in usual], dtype=float)
+            if (sizes == sizes.min()).sum() > 1 and len(t) <= BLOCK:
+                # A short text is stored as it is, at one size for all. Behind a passage of the dictionary itself,
+                # which costs next to nothing, it is compressed; what it adds to the passage is its size.
+                finer = finer or [(z, len(z.compress(p)), p) for z, p in zip(tools(3), passages, strict=True)]
+                sizes = sizes + (sizes > sizes.min()) * len(t) + np.array([len(z.compress(p + t)) - alone for z, alone, p in finer], dtype=float)
             best, *rest = np.argsort(sizes, kind="stable")
             gap = (sizes[rest[0]] - sizes[best]) / sizes[rest[0]] if rest else 1.0
             lang.append(names[best])
@@ -91,8 +101,9 @@ def language(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     Needs doc_id, text and lang. ``lang_pred`` is ``und`` for a null text, a text
     without a letter, and where no language could be learnt. ``score`` is the
     share by which the best size undercuts the second best; below the margin
-    ``accepted`` is false, while ``lang_pred`` still names the best. On a tie the
-    language with more training rows wins, with score 0. Rows with a null id are never held
+    ``accepted`` is false, while ``lang_pred`` still names the best. Equal sizes of
+    short texts are taken again behind a passage of each dictionary; if they stay
+    equal, the language with more training rows wins, with score 0. Rows with a null id are never held
     out; rows with a null or unlearnt lang are classified like all others.
     """
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), classifier(learn(docs, samples))(F.col("text")).alias("c"))
