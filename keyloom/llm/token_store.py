@@ -30,9 +30,9 @@ SEGMENT = 1 << 16
 END = 2
 RANK = 512
 #: Words whose tokens a worker remembers.
-MEMO = 400_000
+MEMO = 500_000
 #: Bytes of text whose different parts are encoded together.
-SLICE = 12 << 20
+SLICE = 18 << 20
 #: Words of one call of the tokenizer.
 ROW = 10_000
 _WHITE = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
