@@ -6,8 +6,10 @@ it counts how often a term t shares a line with a base value e. With
 IC(e) = log(N / n_e) bits to protect and PMI(t; e) = log(N n_te / (n_t n_e)) of
 them revealed by t, a term whose share PMI / IC reaches ``DISCLOSURE`` is a span of
 its own wherever it stands in a document with that value, and is generalised to
-its category. A value or pair must be seen in ``SUPPORT`` different lines, so that
-copies of one line are no evidence. Everything is DataFrame expressions.
+its category. Every value and pair counts. The share n_te / n_t behind the PMI is
+drawn towards n_e / N by one line, and weighs as much as the different lines that
+hold the pair, so that copies of one line are no evidence. Everything is DataFrame
+expressions.
 """
 
 from __future__ import annotations
@@ -18,7 +20,6 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import cut, small
 
 DISCLOSURE = 0.9
-SUPPORT = 3
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Runs are possessive and start where a run starts or the last match ended; this finds
 #: the same matches as the plain greedy forms without trying every start inside a long run.
@@ -92,7 +93,7 @@ def _entities(kinds: tuple[str, ...] = KINDS) -> Column:
     return F.array_distinct(F.concat(*(named(k) for k in kinds)))
 
 
-def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, risk): terms that reveal at least ``disclosure`` of an entity's information.
 
     Counts are over all lines of all texts; ``docs`` needs a column text.
@@ -103,20 +104,21 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
         any_base = any_base | _gate(k, F.col("line"))
     seen = _with_base(lines.where(any_base), F.col("line")).select("line", _entities().alias("entities")).where(F.size("entities") > 0)
     seen = cut(seen.groupBy("line", "entities").agg(F.count("*").alias("n")))
-    entity = seen.select(F.explode("entities").alias("entity"), "n").groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("lines")).where(F.col("lines") >= support).drop("lines")
-    entity = cut(entity)
+    entity = cut(seen.select(F.explode("entities").alias("entity"), "n").groupBy("entity").agg(F.sum("n").alias("n_e")))
     words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0)))
-    rows = seen.select(F.explode("entities").alias("entity"), "line", "n").join(small(entity.select("entity")), "entity", "left_semi")
-    both = rows.select("entity", F.explode(words).alias("term"), "n").groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("lines")).where(F.col("lines") >= support).drop("lines")
+    rows = seen.select(F.explode("entities").alias("entity"), "line", "n")
+    both = rows.select("entity", F.explode(words).alias("term"), "n").groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("lines"))
     both = cut(both.where(~F.contains(F.col("entity"), F.col("term"))))
     if both.isEmpty():
         return both.select("entity", "term", F.lit(0.0).alias("risk"))
     terms = cut(both.select("term").distinct())
     every = lines.select(F.explode(words).alias("term"))
-    term = every.join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # counted before the join: the words of the corpus grow faster than its vocabulary
+    term = every.groupBy("term").agg(F.count("*").alias("n_t")).join(small(terms), "term", "left_semi")
     total = lines.count()
-    pmi = F.log(F.lit(float(total)) * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
-    ic = F.log(F.lit(float(total)) / F.col("n_e"))
+    prior = F.col("n_e") / F.lit(float(total))
+    share = (F.col("lines") * F.col("n_te") / F.col("n_t") + prior) / (F.col("lines") + 1)
+    pmi, ic = F.log(share / prior), -F.log(prior)
     return cut(
         both.join(entity, "entity").join(term, "term").where(F.col("n_e") < total)
         .select("entity", "term", (pmi / ic).alias("risk")).where(F.col("risk") >= disclosure)
@@ -132,7 +134,8 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     own = _with_base(docs.select("text"), F.col("text")).select("text", _entities().alias("entities")).where(F.size("entities") > 0).distinct()
     hit = own.select(_row_key(F.col("text")).alias("key"), "text", F.explode("entities").alias("entity")).join(small(terms.select("entity").distinct()), "entity", "left_semi")
     hit = cut(hit)
-    wanted = hit.select("key", "entity").join(terms, "entity").select("key", "term").distinct()
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
+    wanted = hit.select("key", "entity", F.explode(words).alias("term")).join(small(terms), ["entity", "term"], "left_semi").select("key", "term").distinct()
     placed = hit.select("key", "text").distinct().select("key", F.explode(located(F.lower("text"), _TERM)).alias("w")).select("key", F.col("w.value").alias("term"), "w.start", "w.end")
     return placed.join(wanted, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
 

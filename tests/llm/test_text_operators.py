@@ -133,6 +133,13 @@ def test_disclosing_terms(spark, rng):
     assert pii.disclosing_terms(alone).count() == 0  # copies of one line are no evidence
 
 
+def test_value_of_one_line_has_terms(spark, rng):
+    lines = ["zebrafish contact secret@corp.example about filler"] + [f"filler contact about {sentence(rng, 8)} {i}" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(lines)), DOCS)
+    assert [(r["entity"], r["term"]) for r in pii.disclosing_terms(df).collect()] == [("email:secret@corp.example", "zebrafish")]
+    assert pii.sanitised(df).where("doc_id = 0").first()["text"] == "[TERM] contact [EMAIL] about filler"
+
+
 def test_pii_edges(spark):
     docs = clashing(spark, [*EDGE, (20, "x a@b.co y"), (20, "x a@b.co y")]).drop("_terms", "_email", "_gone")
     assert pii.personal_data(docs).count() == len(EDGE) + 2
