@@ -94,6 +94,12 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: int = CONTAI
     null id are left out; a repeated id counts as several items under one id.
     Rows with a null doc_id are searched like others. Empty tables give none.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
+    return _searched(rows, "long", items, containment, block).withColumnRenamed("key", "doc_id")
+
+
+def _searched(docs: DataFrame, kind: str, items: DataFrame, containment: int, block: int) -> DataFrame:
+    """``contained_items`` of rows (key, text) with keys of the type ``kind``."""
     spark = docs.sparkSession
     items = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text"))
     blocks = max(1, -(-items.count() // block))
@@ -110,18 +116,19 @@ def contained_items(docs: DataFrame, items: DataFrame, containment: int = CONTAI
                     for d, t in zip(batch.column(0), batch.column(1), strict=True)
                     for item, size, shared in found.search(np.unique(_stream(t.as_py(), memo)), CANDIDATE, containment)
                 ]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                kinds = (batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 cols = zip(*rows, strict=True) if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "item_id", "item_shingles", "shared", "containment"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["key", "item_id", "item_shingles", "shared", "containment"])
 
-        hits = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, item_id long, item_shingles long, shared long, containment double")
+        hits = docs.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"key {kind}, item_id long, item_shingles long, shared long, containment double")
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with their columns. Rows that share an id, null included, go together."""
+    """The rows of ``docs`` whose text contains no item, with their columns. Each row is judged by its own text, whatever its id."""
     key = unused(docs, "_contaminated")
-    bad = cut(contained_items(docs, items).select(F.col("doc_id").alias(key)).distinct())
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    bad = cut(_searched(docs.select(digest.alias("key"), "text"), "string", items, CONTAINMENT, BLOCK).select(F.col("key").alias(key)).distinct())
     names = [f"`{c}`" for c in docs.columns]
-    return docs.join(small(bad), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti").select(*names)
+    return docs.join(small(bad), digest == F.col(key), "left_anti").select(*names)

@@ -228,18 +228,23 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row of ``docs`` for each component, with its columns: the one with the smallest doc_id, once if it is repeated.
+    """One row of ``docs`` for each component, with its columns: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay. Texts are not shuffled unless an id is repeated
-    or the ids that go are too many to send to every executor.
+    Rows with a null doc_id stay. Where an id is repeated every row is a vertex
+    of its own, so rows that share an id stay unless their texts are linked;
+    wordless rows of one id count as linked. Texts are not shuffled unless the
+    rows that go are too many to send to every executor.
     """
     names, key = [f"`{c}`" for c in docs.columns], unused(docs, "_of")
-    matched = F.col("doc_id").cast("long") == F.col(key)
-    found = cut(near_duplicates(docs, threshold).where("doc_id is not null"))
-    gone = cut(found.where(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct())
-    stay = docs.join(small(gone), matched, "left_anti").select(*names)
-    again = cut(found.where("kept").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)))
-    if again.isEmpty():
-        return stay
-    once = stay.join(small(again), matched, "left_semi").select(*names).dropDuplicates(["doc_id"])
-    return stay.join(small(again), matched, "left_anti").select(*names).unionByName(once)
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"))
+    if ids.groupBy("id").count().where("count > 1").isEmpty():
+        gone = cut(near_duplicates(docs, threshold).where("doc_id is not null and not kept").select(F.col("doc_id").alias(key)))
+        return docs.join(small(gone), F.col("doc_id").cast("long") == F.col(key), "left_anti").select(*names)
+    row = unused(docs, "_row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # fixes the numbers
+    rows = numbered.where("doc_id is not null").select(F.col(row).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id"))
+    found = near_duplicates(rows, threshold).select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    found = cut(found.join(rows.select(F.col("doc_id").alias("row"), "id"), "row"))
+    first = found.groupBy("component", F.when(F.col("component").isNull(), F.col("id")).alias("of")).agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
+    gone = cut(found.join(cut(first), "row", "left_anti").select(F.col("row").alias(key)))
+    return numbered.join(small(gone), F.col(row) == F.col(key), "left_anti").select(*names)

@@ -6,7 +6,7 @@ from test_near_dup import brute
 from test_text_operators import brute_contained, plain_spans
 from pyspark.sql import functions as F
 
-from keyloom.llm import near_dup, toxicity
+from keyloom.llm import decontam, near_dup, toxicity
 
 
 def test_stages(spark, sf_dir, tmp_path):
@@ -45,3 +45,13 @@ def test_run_is_repeatable(spark, sf_dir):
 def test_dedup_of_clashing_columns(spark):
     docs = clashing(spark, [(1, "a b c d e f"), (2, "a b c d e f")])
     assert [r["doc_id"] for r in near_dup.deduplicated(docs).collect()] == [1]
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    item, clean, other = "a b c d e f g h", "one two three four five six", "p q r s t u v w"
+    docs = clashing(spark, [(None, item), (None, clean), (1, item), (1, clean), (2, other)])
+    kept = decontam.without_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, clean), (1, clean), (2, other)] and kept.columns == docs.columns
+    docs = clashing(spark, [(3, item), (5, item), (5, clean), (5, clean), (7, clean), (8, None), (8, " "), (None, item)])
+    kept = near_dup.deduplicated(docs)
+    assert sorted((r["doc_id"] or 0, (r["text"] or "").strip()) for r in kept.collect()) == [(0, item), (3, item), (5, clean), (8, "")] and kept.columns == docs.columns
