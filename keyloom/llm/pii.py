@@ -29,11 +29,14 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_TERM = r"(?<!\p{L})\p{L}{4,40}(?!\p{L})"
+_TERM = r"[\p{L}\p{M}\p{N}]++"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value>> of the matches, in code points: lengths of the parts between matches add up."""
+def located(text: Column, pattern: str, wanted=None) -> Column:
+    """array<struct<start, end, value>> of the matches, in code points: lengths of the parts between matches add up.
+
+    Only matches for which ``wanted`` holds are listed; listing all of a long text takes the square of their number.
+    """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     return F.aggregate(
@@ -41,7 +44,7 @@ def located(text: Column, pattern: str) -> Column:
         F.struct(F.lit(0).alias("at"), empty.alias("out")),
         lambda acc, x: F.struct(
             (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value")))).alias("out"),
+            (lambda more: more if wanted is None else F.when(wanted(x["hit"]), more).otherwise(acc["out"]))(F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x["gap"])).alias("start"), (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("value"))))).alias("out"),
         ),
         lambda acc: acc["out"],
     )
@@ -93,26 +96,52 @@ def _entities(kinds: tuple[str, ...] = KINDS) -> Column:
     return F.array_distinct(F.concat(*(named(k) for k in kinds)))
 
 
+def _filled(text: Column, spans: Column, fill) -> Column:
+    """``text`` with each span of ``spans`` (in order of start) replaced by ``fill(span, its part that is not yet replaced)``."""
+    piece = lambda a, b: F.substring(text, a + 1, F.greatest(b - a, F.lit(0)))
+    return F.aggregate(
+        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, s: F.struct(
+            F.greatest(acc["at"], -s["neg"]).alias("at"),
+            F.when(-s["neg"] <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], piece(acc["at"], F.greatest(s["start"], acc["at"])), fill(s, -s["neg"] - F.greatest(s["start"], acc["at"])))).alias("out"),
+        ),
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))),
+    )
+
+
+def _tagged(kind: str) -> Column:
+    return F.transform(F.col(f"_{kind}"), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("neg"), F.lit(f"[{kind.upper().removesuffix('S')}]").alias("tag")))
+
+
+def _blanked(text: Column) -> Column:
+    """``text`` with blanks for its base spans; other characters stay at their places. Needs the columns of ``_with_base``."""
+    spans = F.array_sort(F.concat(*map(_tagged, KINDS)))
+    return F.when(F.size(spans) > 0, _filled(text, spans, lambda s, n: F.repeat(F.lit(" "), n))).otherwise(text)
+
+
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     """(entity, term, risk): terms that reveal at least ``disclosure`` of an entity's information.
 
-    Counts are over all lines of all texts; ``docs`` needs a column text.
+    Counts are over all lines of all texts; ``docs`` needs a column text. Terms are
+    words of letters and digits; those inside base values are none.
     """
     lines = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
     any_base = F.lit(False)
     for k in KINDS:
         any_base = any_base | _gate(k, F.col("line"))
-    seen = _with_base(lines.where(any_base), F.col("line")).select("line", _entities().alias("entities")).where(F.size("entities") > 0)
-    seen = cut(seen.groupBy("line", "entities").agg(F.count("*").alias("n")))
+    based = cut(_with_base(lines.where(any_base), F.col("line")))  # later expressions read the spans, not their making
+    based = cut(based.select("line", _blanked(F.col("line")).alias("rest"), _entities().alias("entities")))
+    seen = based.where(F.size("entities") > 0)
+    seen = cut(seen.groupBy("line", "rest", "entities").agg(F.count("*").alias("n")))
     entity = cut(seen.select(F.explode("entities").alias("entity"), "n").groupBy("entity").agg(F.sum("n").alias("n_e")))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0)))
-    rows = seen.select(F.explode("entities").alias("entity"), "line", "n")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("rest"), F.lit(_TERM), F.lit(0)))
+    rows = seen.select(F.explode("entities").alias("entity"), "rest", "n")
     both = rows.select("entity", F.explode(words).alias("term"), "n").groupBy("entity", "term").agg(F.sum("n").alias("n_te"), F.count("*").alias("lines"))
-    both = cut(both.where(~F.contains(F.col("entity"), F.col("term"))))
+    both = cut(both)
     if both.isEmpty():
         return both.select("entity", "term", F.lit(0.0).alias("risk"))
     terms = cut(both.select("term").distinct())
-    every = lines.select(F.explode(words).alias("term"))
+    every = lines.where(~any_base).select(F.col("line").alias("rest")).unionByName(based.select("rest")).select(F.explode(words).alias("term"))
     # counted before the join: the words of the corpus grow faster than its vocabulary
     term = every.groupBy("term").agg(F.count("*").alias("n_t")).join(small(terms), "term", "left_semi")
     total = lines.count()
@@ -131,13 +160,18 @@ def _row_key(text: Column) -> Column:
 
 def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(key, terms): per text that holds an entity, the spans array<struct<start, end>> of the terms that disclose it."""
-    own = _with_base(docs.select("text"), F.col("text")).select("text", _entities().alias("entities")).where(F.size("entities") > 0).distinct()
-    hit = own.select(_row_key(F.col("text")).alias("key"), "text", F.explode("entities").alias("entity")).join(small(terms.select("entity").distinct()), "entity", "left_semi")
+    gate = F.lit(False)
+    for k in KINDS:
+        gate = gate | _gate(k, F.col("text"))
+    own = cut(_with_base(docs.select("text").where(gate), F.col("text")))
+    own = cut(own.select("text", _blanked(F.col("text")).alias("rest"), _entities().alias("entities"))).where(F.size("entities") > 0).distinct()
+    hit = own.select(_row_key(F.col("text")).alias("key"), "rest", F.explode("entities").alias("entity")).join(small(terms.select("entity").distinct()), "entity", "left_semi")
     hit = cut(hit)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_TERM), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("rest"), F.lit(_TERM), F.lit(0)))
     wanted = hit.select("key", "entity", F.explode(words).alias("term")).join(small(terms), ["entity", "term"], "left_semi").select("key", "term").distinct()
-    placed = hit.select("key", "text").distinct().select("key", F.explode(located(F.lower("text"), _TERM)).alias("w")).select("key", F.col("w.value").alias("term"), "w.start", "w.end")
-    return placed.join(wanted, ["key", "term"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("terms"))
+    wanted = wanted.groupBy("key").agg(F.collect_set("term").alias("mine"))
+    placed = hit.select("key", "rest").distinct().join(wanted, "key").select("key", located(F.col("rest"), _TERM, lambda w: F.array_contains("mine", F.lower(w))).alias("at"))
+    return placed.select("key", F.transform("at", lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"))).alias("terms")).where(F.size("terms") > 0)
 
 
 def annotated(docs: DataFrame) -> DataFrame:
@@ -182,16 +216,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     names = [f"`{c}`" for c in docs.columns]
     inside = docs.select(F.struct(*(F.col(c) for c in names)).alias("_row"), F.col("text"))
     rows = annotated(inside)
-    tag = lambda k: F.transform(F.col(f"_{k}"), lambda m: F.struct(m["start"].alias("start"), (-m["end"]).alias("neg"), F.lit(f"[{k.upper().removesuffix('S')}]").alias("tag")))
-    spans = F.array_sort(F.concat(*(tag(k) for k in (*KINDS, "terms"))))
-    piece = lambda a, b: F.substring(F.col("text"), a + 1, F.greatest(b - a, F.lit(0)))
-    filled = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], -s["neg"]).alias("at"),
-            F.when(-s["neg"] <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], piece(acc["at"], F.greatest(s["start"], acc["at"])), s["tag"])).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
-    )
+    spans = F.array_sort(F.concat(*map(_tagged, (*KINDS, "terms"))))
+    filled = _filled(F.col("text"), spans, lambda s, n: s["tag"])
     text = F.when(F.size(spans) > 0, filled).otherwise(F.col("text"))
     return rows.select(F.col("_row").withField("text", text).alias("_row")).select("_row.*")

@@ -140,6 +140,13 @@ def test_value_of_one_line_has_terms(spark, rng):
     assert pii.sanitised(df).where("doc_id = 0").first()["text"] == "[TERM] contact [EMAIL] about filler"
 
 
+def test_words_of_a_value_beside_it_are_terms(spark):
+    lines = ["Anna Li smith of k9 anna.smith@corp.example filler"] + [f"filler of w{i}" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(lines)), DOCS)
+    assert {r["term"] for r in pii.disclosing_terms(df).collect()} == {"anna", "li", "smith", "k9"}
+    assert pii.sanitised(df).where("doc_id = 0").first()["text"] == "[TERM] [TERM] [TERM] of [TERM] [EMAIL] filler"
+
+
 def test_pii_edges(spark):
     docs = clashing(spark, [*EDGE, (20, "x a@b.co y"), (20, "x a@b.co y")]).drop("_terms", "_email", "_gone")
     assert pii.personal_data(docs).count() == len(EDGE) + 2
