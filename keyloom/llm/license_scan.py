@@ -2,11 +2,11 @@
 
 The base is exact: places where the words of a short phrase stand consecutively.
 On top of it, ``TEMPLATES`` are indexed as postings (word, template, position)
-without their function words. Of the index words in a document the ``RAREST`` by
-inverse document frequency over the whole corpus are looked up; postings that
-agree on the offset between document and template form an alignment. An alignment
-with enough of the rare words is a candidate, and a candidate counts if the
-template's mandatory phrase stands at its place in the document. Everything is
+without their function words, which leaves the rare ones. Every index word of a
+document is looked up; postings that agree on the offset between document and
+template form an alignment. An alignment with ``COVERAGE`` of the template's index
+words is a candidate, and a candidate counts if the template's mandatory phrase
+stands at its place in the document. Everything is
 DataFrame expressions; only documents with a word stem of ``STEMS`` are tokenised,
 and every phrase and mandatory phrase contains one.
 """
@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from keyloom.llm.common import cut, small
 
@@ -45,7 +44,6 @@ TEMPLATES = (
 )
 FUNCTION_WORDS = frozenset("a an and any are as at be by for from in is it of on or that the this to was with you 0 2 3 4".split())
 STEMS = ("licen", "cc", "permission", "redistribut", "creative commons")
-RAREST = 6
 #: Least share of a template's index words that an alignment must hold.
 COVERAGE = 0.6
 
@@ -108,18 +106,9 @@ def scan(docs: DataFrame) -> DataFrame:
     postings = F.broadcast(spark.createDataFrame(_postings(), "word string, template int, place int"))  # constants
     index = sorted({w for w, _, _ in _postings()})
     hits = rows.where("words is not null").select("row", F.posexplode("words").alias("at", "word")).where(F.col("word").isin(index))
-    hits = cut(hits)
-    n = rows.count()
-    df = hits.select("row", "word").distinct().groupBy("word").agg(F.log(F.lit(float(max(n, 1))) / F.count("*")).alias("idf"))
-    best = F.row_number().over(Window.partitionBy("row").orderBy(F.col("idf").desc(), "word"))  # a row has at most as many words as the index
-    chosen = hits.select("row", "word").distinct().join(F.broadcast(df), "word").withColumn("r", best).where(F.col("r") <= RAREST).select("row", "word", F.lit(1).alias("rare"))
-    aligned = (
-        hits.join(chosen, ["row", "word"], "left").join(postings, "word")
-        .groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift"))
-        .agg(F.count_distinct("place").alias("agree"), F.count_distinct(F.when(F.col("rare") == 1, F.col("word"))).alias("rare"))
-    )
+    aligned = hits.join(postings, "word").groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("agree"))
     need = F.broadcast(spark.createDataFrame(_mandatory(), "template int, label string, offset int, phrase array<string>, size int"))
-    candidates = aligned.join(need, "template").where((F.col("rare") >= F.least(F.lit(2), F.col("size"))) & (F.col("agree") >= F.col("size") * COVERAGE))
+    candidates = aligned.join(need, "template").where(F.col("agree") >= F.col("size") * COVERAGE)
     start = F.col("shift") + F.col("offset")
     verified = candidates.join(rows.select("row", "words"), "row").withColumn("good", F.when(start >= 0, F.slice("words", F.greatest(start, F.lit(0)) + 1, F.size("phrase")) == F.col("phrase")).otherwise(False))
     more = verified.groupBy("row").agg(

@@ -173,6 +173,16 @@ def test_licence_base_and_labels(spark):
     assert out[7]["labels"] == "bsd" and out[9]["labels"] == "cc-by,cc-by-nc" and out[8]["labels"] == ""
 
 
+def test_every_licence_of_a_document_is_found(spark):
+    every = " . ".join(text for _, text, _ in license_scan.TEMPLATES)
+    # the words that are rare over the corpus stand apart from the notice that is whole
+    apart = "mozilla affero creative commons attribution redistribution binary " + "filler " * 50 + "under the terms of the gnu lesser general public license as published by the free software foundation"
+    docs = [(0, every), (1, apart)] + [(i, "the gnu lesser general public license as published by the free software foundation") for i in range(2, 12)]
+    out = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(docs, DOCS)).collect()}
+    assert out[0]["labels"] == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES}))
+    assert out[1]["labels"] == "lgpl"
+
+
 def test_licence_edges(spark):
     assert license_scan.scan(clashing(spark, EDGE)).count() == len(EDGE)
     assert license_scan.scan(spark.createDataFrame([], DOCS)).count() == 0
