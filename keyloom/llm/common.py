@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,45 +16,57 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where none is configured."""
+    """The folder in ``spark.checkpoint.dir``. Where none is configured, a local session gets a temporary one and a cluster an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        path = sc.getConf().get("spark.checkpoint.dir")
+        if not path and not sc._jsc.isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-_written: list[str] = []
+#: Paths of the tables that ``cut`` wrote, by the scopes that are open in this thread or task, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """``df`` computed once, as a table in the shared folder; survives the loss of executors.
 
     A table rather than ``checkpoint()``: it is columnar, and its size is known
     to the planner, while a checkpoint keeps the estimate of its whole history.
+    It belongs to the innermost ``scratch``, with ``keep`` to the one around that.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    open_scopes = _scopes.get()
+    if len(open_scopes) > keep:
+        open_scopes[-1 - keep].append(path)
     df.write.parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """A point in the sequence of tables that ``cut`` wrote."""
-    return len(_written)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """A scope: the tables that ``cut`` writes inside are deleted at its end, save those written with ``keep``.
 
-
-def cuts_since(start: int) -> list[str]:
-    return _written[start:]
+    Yields the list of paths, oldest first.
+    """
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield mine
+    finally:
+        _scopes.reset(token)
+        drop(spark, mine)
 
 
-def drop_cuts(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that ``cut`` wrote; nothing may read them any more."""
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more and take them off their list."""
     for path in paths:
-        if path in _written:
-            _written.remove(path)
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del paths[:]
 
 
 def rekey(c: Column) -> Column:

@@ -29,10 +29,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, rekey, small, unused
+from keyloom.llm.common import cut, rekey, scratch, small, unused
 from keyloom.llm.graph import components
 from keyloom.llm.shingles import WordHashes, mix, shingle_set
 
@@ -147,6 +147,31 @@ def _overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(x), len(y))
 
 
+def _dealt(one: DataFrame) -> DataFrame:
+    """(id, c, family, mine, i, j) for members (id, c, family): the pairs of blocks in which each member is compared.
+
+    A component of half a block or more has blocks of its own, which never meet
+    each other; the members of smaller ones share blocks, a component in one of
+    them. So a family that is one large component and some strays costs a row a
+    member for each block of strays.
+    """
+    sizes = cut(one.groupBy("family", "c").agg(F.count("*").alias("n")))
+    apart = F.col("n") * 2 >= BLOCK
+    rest = sizes.groupBy("family").agg(F.ceil(F.sum(F.when(apart, 0).otherwise(F.col("n"))) / BLOCK).alias("shared"), F.sum(F.when(apart, F.ceil(F.col("n") / BLOCK)).otherwise(0)).alias("own"))
+    rest = cut(rest.select(rekey(F.col("family")).alias("of"), "shared", (F.col("shared") + F.col("own")).alias("blocks")))
+    before = F.sum("width").over(Window.partitionBy("family").orderBy("c")) - F.col("width")  # a row for each large component
+    large = cut(sizes.where(apart).withColumn("width", F.ceil(F.col("n") / BLOCK)).select(rekey(F.col("family")).alias("in"), rekey(F.col("c")).alias("big"), "width", before.alias("before")))
+    placed = (
+        one.join(large, (F.col("c") == F.col("big")) & (F.col("family") == F.col("in")), "left").join(rest, F.col("family") == F.col("of"))
+        .withColumn("start", F.col("shared") + F.col("before"))
+        .withColumn("mine", F.when(F.col("big").isNull(), F.pmod(F.xxhash64("c"), F.col("shared"))).otherwise(F.col("start") + F.pmod(F.xxhash64("id"), F.col("width"))))
+    )
+    every = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    others = F.when(F.col("big").isNull(), every).otherwise(F.filter(every, lambda k: (k < F.col("start")) | (k >= F.col("start") + F.col("width"))))
+    met = placed.select("id", "c", "family", "mine", F.explode(others).alias("other"))
+    return met.select("id", "c", "family", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+
+
 def _links_between_components(rest: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
     """(a, b): components of ``rest`` (id, centre, c) that a link of two members joins.
 
@@ -155,24 +180,19 @@ def _links_between_components(rest: DataFrame, docs: DataFrame, threshold: int)
     spread over tasks, no pair of documents is ever a row, and what comes out is
     one row for two components that a task found linked.
     """
-    family = cut(components(rest.select(F.col("id").alias("a"), F.col("centre").alias("b"))))
+    family = components(rest.select(F.col("id").alias("a"), F.col("centre").alias("b")))
     one = cut(
         rest.select("id", "c").distinct().join(family.withColumnRenamed("id", "of"), F.col("id") == F.col("of")).select("id", "c", F.col("component").alias("family"))
     )
-    blocks = one.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).select(rekey(F.col("family")).alias("family"), "blocks")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    dealt = (
-        one.join(blocks, "family").withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("id", "c", "family", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    )
-    ids = cut(one.select(F.col("id").alias("wanted")).distinct())
+    ids = one.select(F.col("id").alias("wanted"))  # an id has one component and one family
     sets = cut(full_sets(docs.select("doc_id", "text").join(small(ids), F.col("doc_id").cast("long") == F.col("wanted"), "left_semi")))
-    rows = dealt.join(sets.select(rekey(F.col("id")).alias("id"), "shingles"), "id")
+    rows = _dealt(one).join(sets.select(rekey(F.col("id")).alias("id"), "shingles"), "id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         within = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         left, right = pdf[pdf["mine"] == pdf["i"]], pdf[pdf["mine"] == pdf["j"]]
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         top = pdf["c"].mode().iloc[0]  # pairs inside the largest component need no look
         found = set()
         for x, y in ((left[left["c"] != top], right), (left[left["c"] == top], right[right["c"] != top])):
@@ -190,23 +210,26 @@ def _links_between_components(rest: DataFrame, docs: DataFrame, threshold: int)
 
 def link_components(docs: DataFrame, sigs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(d1, d2, rep, component): one row for each distinct non-empty shingle set."""
-    reps = cut(
-        sigs.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    )
-    spread = reps.select(F.col("rep").alias("id"), "n", F.explode("keys").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
-    members = cut(spread.join(shared.select(rekey(F.col("bucket")).alias("bucket"), "centre"), "bucket"))
-    stars = cut(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
-    links = cut(_confirmed(stars, docs, threshold))
-    found = cut(components(links))
-
-    labelled = members.join(found.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("bucket", "id", "centre", F.coalesce("component", "id").alias("c"))
-    mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(rekey(F.col("bucket")).alias("bucket"))
-    rest = cut(labelled.join(mixed, "bucket", "left_semi").select("id", "centre", "c").distinct())
-    if not rest.isEmpty():
-        more = _links_between_components(rest, docs, threshold)
-        found = cut(components(links.unionByName(more)))
+    with scratch(docs.sparkSession):
+        reps = cut(
+            sigs.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2")
+            .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")),
+            keep=True,
+        )
+        spread = reps.select(F.col("rep").alias("id"), "n", F.explode("keys").alias("bucket"))
+        shared = spread.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre < last")
+        members = cut(spread.join(shared.select(rekey(F.col("bucket")).alias("bucket"), "centre"), "bucket"))
+        stars = cut(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct())
+        links = cut(_confirmed(stars, docs, threshold))
+        found = components(links)
+
+        labelled = members.join(found.withColumnRenamed("id", "of"), F.col("id") == F.col("of"), "left").select("bucket", "id", "centre", F.coalesce("component", "id").alias("c"))
+        mixed = labelled.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select(rekey(F.col("bucket")).alias("bucket"))
+        rest = cut(labelled.join(mixed, "bucket", "left_semi").select("id", "centre", "c").distinct())
+        if not rest.isEmpty():
+            more = _links_between_components(rest, docs, threshold)
+            found = components(links.unionByName(more))
+        found = cut(found, keep=True)
     return reps.select("d1", "d2", "rep").join(found, F.col("rep") == F.col("id"), "left").select("d1", "d2", "rep", F.coalesce("component", "rep").alias("component"))
 
 
@@ -238,13 +261,15 @@ def deduplicated(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     names, key = [f"`{c}`" for c in docs.columns], unused(docs, "_of")
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"))
     if ids.groupBy("id").count().where("count > 1").isEmpty():
-        gone = cut(near_duplicates(docs, threshold).where("doc_id is not null and not kept").select(F.col("doc_id").alias(key)))
+        with scratch(docs.sparkSession):
+            gone = cut(near_duplicates(docs, threshold).where("doc_id is not null and not kept").select(F.col("doc_id").alias(key)), keep=True)
         return docs.join(small(gone), F.col("doc_id").cast("long") == F.col(key), "left_anti").select(*names)
     row = unused(docs, "_row")
     numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))  # fixes the numbers
     rows = numbered.where("doc_id is not null").select(F.col(row).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id"))
-    found = near_duplicates(rows, threshold).select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
-    found = cut(found.join(rows.select(F.col("doc_id").alias("row"), "id"), "row"))
-    first = found.groupBy("component", F.when(F.col("component").isNull(), F.col("id")).alias("of")).agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
-    gone = cut(found.join(cut(first), "row", "left_anti").select(F.col("row").alias(key)))
+    with scratch(docs.sparkSession):
+        found = near_duplicates(rows, threshold).select(F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+        found = cut(found.join(rows.select(F.col("doc_id").alias("row"), "id"), "row"))
+        first = found.groupBy("component", F.when(F.col("component").isNull(), F.col("id")).alias("of")).agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
+        gone = cut(found.join(cut(first), "row", "left_anti").select(F.col("row").alias(key)), keep=True)
     return numbered.join(small(gone), F.col(row) == F.col(key), "left_anti").select(*names)

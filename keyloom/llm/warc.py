@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, cuts_since, drop_cuts, mark, shared_dir, small
+from keyloom.llm.common import cut, drop, scratch, shared_dir, small
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -152,15 +152,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     reached = cut(links.where(F.col("at") == len(MAGIC)).select("file", "at"))
     entries = exits.join(exits.select("file", F.col("exit").alias("at")).unionByName(reached).distinct(), ["file", "at"], "left_semi")
     jumps, n = cut(entries.select("file", F.col("at").alias("source"), F.col("exit").alias("target"))), -1
-    start = mark()
-    while (now := reached.count()) != n:
-        n = now
-        far = reached.join(jumps, (reached["file"] == jumps["file"]) & (reached["at"] == jumps["source"])).select(jumps["file"], jumps["target"].alias("at"))
-        again = jumps.select("file", F.col("source").alias("target"), F.col("target").alias("to"))
-        old = cuts_since(start)
-        reached = cut(reached.unionByName(far).distinct())
-        jumps = cut(jumps.join(again, ["file", "target"], "left").select("file", "source", F.coalesce("to", "target").alias("target")))
-        drop_cuts(spark, old)
+    with scratch(spark) as tables:
+        while (now := reached.count()) != n:
+            n, old = now, tables[:]
+            far = reached.join(jumps, (reached["file"] == jumps["file"]) & (reached["at"] == jumps["source"])).select(jumps["file"], jumps["target"].alias("at"))
+            again = jumps.select("file", F.col("source").alias("target"), F.col("target").alias("to"))
+            reached = cut(reached.unionByName(far).distinct())
+            jumps = cut(jumps.join(again, ["file", "target"], "left").select("file", "source", F.coalesce("to", "target").alias("target")))
+            del tables[: len(old)]
+            drop(spark, old)
+        reached = cut(reached, keep=True)
     entry = reached.select("file", "at", F.lit(True).alias("entry"))
     flagged = links.join(small(entry), ["file", "at"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     records = cut(flagged.select("file", "block", "at", "to", "n", "head", "skip", "size", "sha1", "entry").groupBy("file", "block").applyInPandas(
