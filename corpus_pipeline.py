@@ -1,7 +1,7 @@
 """Five stages from raw documents to packed training sequences.
 
 Each stage reads what its predecessor kept and is written as Parquet before the
-next one starts. Intermediate tables of a stage are deleted when the next begins.
+next one starts.
 """
 
 from __future__ import annotations
@@ -13,24 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import decontam, near_dup, packing, pii, toxicity
-from keyloom.llm.common import cuts_since, drop_cuts, mark, shared_dir, table
+from keyloom.llm.common import drop, scratch, shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_scratch: list[str] = []
-
-
-def _stage(f: Stage) -> Stage:
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if f is not _toxicity:
-            drop_cuts(spark, _scratch)
-        start = mark()
-        out = f(spark, docs, sf_dir)
-        _scratch[:] = cuts_since(start)
-        return out
-
-    return run_stage
-
 
 def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go."""
@@ -58,22 +44,24 @@ def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", _stage(_toxicity)),
-    ("near_dedup", _stage(_near_dedup)),
-    ("decontamination", _stage(_decontamination)),
-    ("pii", _stage(_pii)),
-    ("packing", _stage(_packing)),
+    ("toxicity", _toxicity),
+    ("near_dedup", _near_dedup),
+    ("decontamination", _decontamination),
+    ("pii", _pii),
+    ("packing", _packing),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole documents table. A stage's tables are deleted when its result is written, and that when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), []
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
-        docs = spark.read.parquet(f"{top}/{name}")
-    drop_cuts(spark, _scratch)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        drop(spark, before)
+        before = [f"{top}/{name}"]
+        docs = spark.read.parquet(*before)
     return docs
 
 
