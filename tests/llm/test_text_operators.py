@@ -1,9 +1,13 @@
 """Language, decontamination, PII, licences, toxicity and packing."""
 
 import hashlib
+import math
 import re
+import time
+from collections import Counter
 
 import numpy as np
+import pytest
 from conftest_llm import DOCS, EDGE, clashing, sentence
 from pyspark.sql import functions as F
 
@@ -71,7 +75,9 @@ def test_contained_items_equal_brute_force(spark, rng):
     d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
     want = brute_contained(docs, items)
     assert want and {tuple(r)[:4] for r in decontam.contained_items(d, i).collect()} == want
-    assert {tuple(r)[:4] for r in decontam.contained_items(d, i, block=7).collect()} == want
+    with pytest.MonkeyPatch.context() as m:  # a bitmap in which every hash is hit
+        m.setattr(decontam, "BITS", 1), m.setattr(decontam, "LEAST", 4), m.setattr(decontam, "MOST", 4), m.setattr(decontam, "_CHUNK", 3)
+        assert {tuple(r)[:4] for r in decontam.contained_items(d, i).collect()} == want
     clean = decontam.without_contaminated(d, i)
     assert {r["doc_id"] for r in clean.collect()} == {x for x, _ in docs} - {x[0] for x in want} and clean.columns == d.columns
 
@@ -95,14 +101,13 @@ def luhn(d):
     return sum(x if i % 2 == 0 else x * 2 - 9 if x > 4 else x * 2 for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
 
 
+def plain_valid(kind, value):
+    digits = re.sub(r"\D", "", value)
+    return {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in value.split(".")), "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]
+
+
 def plain_spans(text):
-    out = []
-    for kind, p in PLAIN.items():
-        for m in re.finditer(p, text or "", re.ASCII):
-            digits = re.sub(r"\D", "", m[0])
-            if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15}[kind]:
-                out.append(f"{kind}:{m.start()}:{m.end()}")
-    return out
+    return [f"{kind}:{m.start()}:{m.end()}" for kind, p in PLAIN.items() for m in re.finditer(p, text or "", re.ASCII) if plain_valid(kind, m[0])]
 
 
 HARD = ["a@b.com_x@y.com.", "1.2.3.4.5.6.7.8", "é +1 (414) 555-7134 4539 5787 6362 1486", "1" * 20000, "a" * 20000 + "@", "999.1.1.1 01.002.3.4 0000.1.1.1", "😀 a.b+c@d-e.f.g 😀", "@@a@@b.c", " +1-..-2 +12345678-", "4-5-3-9578763621486", None, ""]
@@ -144,15 +149,102 @@ def test_words_of_a_value_beside_it_are_terms(spark):
     lines = ["Anna Li smith of k9 anna.smith@corp.example filler"] + [f"filler of w{i}" for i in range(3000)]
     df = spark.createDataFrame(list(enumerate(lines)), DOCS)
     assert {r["term"] for r in pii.disclosing_terms(df).collect()} == {"anna", "li", "smith", "k9"}
-    assert pii.sanitised(df).where("doc_id = 0").first()["text"] == "[TERM] [TERM] [TERM] of [TERM] [EMAIL] filler"
+    assert pii.sanitised(df).where("doc_id = 0").first()["text"] == "[NAME] [NAME] [TERM] of [NUMBER] [EMAIL] filler"
+
+
+def brute_terms(texts):
+    """entity, term -> risk, by the definition in the module's docstring."""
+    term, contexts, plain = re.compile(r"[^\W_]+"), [], []
+    for line in (x for t in texts for x in (t or "").split("\n")):
+        held = {}
+        for kind, p in PLAIN.items():
+
+            def put(m, kind=kind):
+                if not plain_valid(kind, m[0]):
+                    return m[0]
+                held[len(held)] = f"{kind}:{m[0].lower()}"
+                return f"\ue000{len(held) - 1}\ue001"
+
+            line = "".join(put(re.match(p, x, re.ASCII)) if k % 2 else x for k, x in enumerate(whole_split(p, line)))
+        tokens = re.findall(r"\ue000\d+\ue001|[^\W_]+", line.lower())
+        for k in range(0, len(tokens), pii.CONTEXT):
+            some = tokens[k : k + pii.CONTEXT]
+            values = sorted({held[int(t[1:-1])] for t in some if t[0] == "\ue000"})
+            words = [t for t in some if t[0] != "\ue000"]
+            plain += words
+            contexts += [(tuple(values), tuple(words))] if values else []
+    n_t, n_e, n_te, different = Counter(plain), Counter(), Counter(), Counter()
+    for (values, words), n in Counter(contexts).items():
+        for e in values:
+            n_e[e] += n * len(words)
+            n_te.update({(e, w): n * k for w, k in Counter(words).items()})
+            different.update({(e, w): 1 for w in set(words)})
+    out = {}
+    for (e, w), n in n_te.items():
+        prior = n_e[e] / len(plain)
+        share = (different[e, w] * n / n_t[w] + prior) / (different[e, w] + 1)
+        if n_e[e] < len(plain):
+            out[e, w] = math.log(share / prior) / -math.log(prior)
+    return out
+
+
+def whole_split(pattern, text):
+    """What stands between the matches of a pattern, and the matches, in turn."""
+    out, at = [], 0
+    for m in re.finditer(pattern, text, re.ASCII):
+        out += [text[at : m.start()], m[0]]
+        at = m.end()
+    return [*out, text[at:]]
+
+
+def test_disclosing_terms_equal_brute_force(spark, rng):
+    values = ["a.b@c.example", "+1 414 555 7134", "10.0.0.1", "4539 5787 6362 1486"]
+    texts = []
+    for _ in range(150):
+        w = sentence(rng, rng.choice((3, 20, 150)), 90).split()
+        for _ in range(rng.choice((0, 0, 1, 3))):
+            w.insert(rng.randrange(len(w)), rng.choice(values) + rng.choice((" Zeta", " 7th", "")))
+        w.insert(rng.randrange(len(w)), rng.choice(("\n", "Été")))
+        texts.append(" ".join(w))
+    texts += texts[:20] + [None, ""]
+    want = brute_terms(texts)
+    got = {(r["entity"], r["term"]): r["risk"] for r in pii.disclosing_terms(spark.createDataFrame(list(enumerate(texts)), DOCS), 0.3).collect()}
+    assert got.keys() == {k for k, v in want.items() if v >= 0.3} and len(got) > 20
+    assert all(abs(v - want[k]) < 1e-9 for k, v in got.items())
+
+
+def test_strong_terms_are_removed(spark, rng):
+    lines = [f"Zebra w{i} me@x.example" for i in range(80)] + [f"filler of w{i} v{i}" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(lines)), DOCS)
+    assert pii.sanitised(df).where("doc_id = 5").first()["text"] == " w5 [EMAIL]"
+
+
+def test_spans_are_places_of_the_text(spark):
+    lines = ["İİİ f0a g0b zebrafish contact secret@corp.example q0"] + [f"filler contact of w{i}" for i in range(3000)]
+    df = spark.createDataFrame(list(enumerate(lines)), DOCS)
+    row = pii.personal_data(df).where("doc_id = 0").first()
+    assert {lines[0][int(a) : int(b)] for k, a, b in (x.split(":") for x in row["spans"].split(",")) if k == "term"} == {"İİİ", "f0a", "g0b", "zebrafish", "q0"}
+    assert pii.sanitised(df).where("doc_id = 0").first()["text"] == "[NAME] [NUMBER] [NUMBER] [TERM] contact [EMAIL] [NUMBER]"
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    text = " ".join(f"word{i % 977} x{i}@mail.example" if i % 6 == 0 else f"word{i % 977}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text)], DOCS).cache()
+    df.count()
+    start = time.perf_counter()
+    assert df.select(F.expr(f"size({pii.located('text', pii._TERM)})").alias("n")).first()["n"] == len(re.findall(r"[^\W_]+", text))
+    assert df.select(F.size(pii.base_spans("text", "email")).alias("n")).first()["n"] == 16667
+    assert time.perf_counter() - start < 8  # 30 s and more where every match copies those before
+    assert "@" not in pii.sanitised(df).first()["text"]
 
 
 def test_pii_edges(spark):
-    docs = clashing(spark, [*EDGE, (20, "x a@b.co y"), (20, "x a@b.co y")]).drop("_terms", "_email", "_gone")
-    assert pii.personal_data(docs).count() == len(EDGE) + 2
+    docs = clashing(spark, [*EDGE, (20, "x a@b.co y"), (20, "x a@b.co y"), (21, "x y " * 50)])
+    docs = docs.select("*", *(F.lit(7).alias(c) for c in "_row _key _at new found pieces old key terms".split() if c not in docs.columns))
+    assert pii.personal_data(docs).count() == len(EDGE) + 3
     out = pii.sanitised(docs)
     assert out.columns == docs.columns and [r["text"] for r in out.where("doc_id = 20").collect()] == ["x [EMAIL] y"] * 2
-    assert pii.personal_data(docs.limit(0)).count() == 0
+    assert pii.personal_data(docs.limit(0)).count() == 0 and pii.sanitised(docs.limit(0)).count() == 0
 
 
 # licences
