@@ -1,6 +1,7 @@
 """Toxicity scores from a linear classifier with a counterfactual penalty.
 
-Features are the presence of words, of word beginnings and of repeated words. The model is a
+Features are the presence of words, of word beginnings and of repeated words, those
+typical of toxic rows and those typical of clean ones. The model is a
 logistic regression fitted on the driver over a bounded sample of labelled
 rows. For every sampled text that names a group (``IDENTITY``), copies are made
 in which the name is swapped for others of the list, and the squared change of
@@ -16,15 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, held_out, unused
+from keyloom.llm.common import cut, held_out, scratch, unused
 
-#: Bound of the sample: labelled rows of each class, the first by a hash of the id.
+#: Bound of the sample: labelled ids of each class, the first by a hash of the id, a text for each.
 SAMPLE = {1: 4000, 0: 8000}
-#: Features kept, those most typical of toxic rows first.
-FEATURES = 4096
+#: Features kept of those more frequent in a class, the most typical first. A parameter of the model like its sample.
+FEATURES = {1: 4096, 0: 1024}
 MIN_ROWS = 3
 THRESHOLD = 0.7
 RIDGE, FAIRNESS = 1e-5, 2.0
@@ -63,11 +65,12 @@ def sample_of(docs: DataFrame, labels: DataFrame, bound: dict[int, int]) -> Data
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [known.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for c, n in bound.items()]
     ids = some[0].unionByName(some[1]).withColumnRenamed("doc_id", "labelled")
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled")).select("doc_id", "text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("labelled"))
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # one text of a repeated id
 
 
-def _chosen(sample: DataFrame, n: tuple[int, int], limit: int) -> list[str]:
-    """The features whose share among toxic rows exceeds that among clean ones most, by the chi-square statistic."""
+def _chosen(sample: DataFrame, n: tuple[int, int], limits: dict[int, int]) -> list[str]:
+    """The features whose share in one class exceeds that in the other most, by the chi-square statistic, for either class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,16 +86,14 @@ def _chosen(sample: DataFrame, n: tuple[int, int], limit: int) -> list[str]:
 
     clean, bad = n
     a, b = F.col("a"), F.col("b")
-    return [
-        r["f"]
-        for r in sample.select("text", F.col("toxic").cast("int")).mapInArrow(count, "f string, toxic int")
-        .groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
-        .where((a >= MIN_ROWS) & (a * clean > b * bad))
-        .orderBy(((a * clean - b * bad) * (a * clean - b * bad) / ((a + b) * (clean + bad - a - b + 1.0))).desc(), "f").limit(limit).collect()
-    ]
+    counts = cut(sample.select("text", F.col("toxic").cast("int")).mapInArrow(count, "f string, toxic int").groupBy("f").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")))
+    lean = a * clean - b * bad
+    typical = (lean * lean / ((a + b) * (clean + bad - a - b + 1.0))).desc()
+    sides = ((a >= MIN_ROWS) & (lean > 0), limits[1]), ((b >= MIN_ROWS) & (lean < 0), limits[0])
+    return [r["f"] for side, limit in sides for r in counts.where(side).orderBy(typical, "f").limit(limit).collect()]
 
 
-def _rows(sample: DataFrame, vocabulary: list[str], identity: list[str]) -> pd.DataFrame:
+def _rows(sample: DataFrame, vocabulary: list[str], identity: list[str]) -> pa.Table:
     """Per sampled row: its label, the numbers of its features, and those of its swapped copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,33 +106,36 @@ def _rows(sample: DataFrame, vocabulary: list[str], identity: list[str]) -> pd.D
                 names=["doc_id", "toxic", "x", "swaps"],
             )
 
-    return sample.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).mapInArrow(run, "doc_id long, toxic int, x array<int>, swaps array<array<int>>").orderBy("doc_id").toPandas()
+    return sample.select(F.col("doc_id").cast("long"), "text", F.col("toxic").cast("int")).mapInArrow(run, "doc_id long, toxic int, x array<int>, swaps array<array<int>>").orderBy("doc_id").toArrow()
 
 
-def _csr(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.fromiter((i for r in rows for i in r), dtype=np.int64)
+def _csr(rows: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the row, value) of every element of lists."""
+    rows = rows if isinstance(rows, pa.Array) else pa.array(rows, pa.list_(pa.int32()))
+    return np.repeat(np.arange(len(rows), dtype=np.int32), pc.list_value_length(rows).to_numpy(zero_copy_only=False)), rows.flatten().to_numpy(zero_copy_only=False)
 
 
-def fit_weights(x: list[list[int]], y: np.ndarray, swaps: list[list[list[int]]], size: int, ridge: float = RIDGE, fairness: float = FAIRNESS, steps: int = 600) -> np.ndarray:
-    """Weights of ``size`` features and the bias, by Adam over the whole sample."""
+def fit_weights(x: pa.Array | list, y: np.ndarray, swaps: pa.Array | list, size: int, ridge: float = RIDGE, fairness: float = FAIRNESS, steps: int = 600) -> np.ndarray:
+    """Weights of ``size`` features and the bias, by Adam over the whole sample; ``x`` and ``swaps`` are lists in flat arrays."""
     w = np.zeros(size + 1)
     r, c = _csr(x)
     share = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    of = [i for i, s in enumerate(swaps) for _ in s]
-    r2, c2 = _csr([s for group in swaps for s in group])
+    swaps = swaps if isinstance(swaps, pa.Array) else pa.array(swaps, pa.list_(pa.list_(pa.int32())))
+    of = np.repeat(np.arange(len(swaps)), pc.list_value_length(swaps).to_numpy(zero_copy_only=False))
+    r2, c2 = _csr(swaps.flatten())
     score = lambda rows, cols, n: 1 / (1 + np.exp(-np.clip(np.bincount(rows, weights=w[cols], minlength=n) + w[-1], -40, 40)))
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         p = score(r, c, len(x))
         g = share * (p - y)
         d2 = np.empty(0)
-        if of:
+        if len(of):
             q = score(r2, c2, len(of))
             d = 2 * fairness / len(of) * (p[of] - q)
             g = g + np.bincount(of, weights=d * p[of] * (1 - p[of]), minlength=len(x))
             d2 = -d * q * (1 - q)
         grad = np.bincount(c, weights=g[r], minlength=size + 1) + ridge * w
-        if of:
+        if len(of):
             grad += np.bincount(c2, weights=d2[r2], minlength=size + 1)
         grad[-1] = g.sum() + d2.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -141,13 +145,15 @@ def fit_weights(x: list[list[int]], y: np.ndarray, swaps: list[list[list[int]]],
 
 def fit(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = None, identity: list[str] = IDENTITY) -> tuple[dict[str, float], float]:
     """(weight of each feature, bias). With a class missing in the sample there are no weights and the bias gives the share of toxic rows."""
-    sample = cut(sample_of(docs, labels, bound or SAMPLE))
-    n = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if not n.get(0) or not n.get(1):
-        return {}, 40.0 if n.get(1) else -40.0
-    vocabulary = sorted({*_chosen(sample, (n[0], n[1]), FEATURES), *identity})
-    rows = _rows(sample, vocabulary, list(identity))
-    w = fit_weights(rows["x"].tolist(), rows["toxic"].to_numpy(dtype=float), rows["swaps"].tolist(), len(vocabulary))
+    with scratch(docs.sparkSession):
+        sample = cut(sample_of(docs, labels, bound or SAMPLE))
+        n = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
+        if not n.get(0) or not n.get(1):
+            return {}, 40.0 if n.get(1) else -40.0
+        vocabulary = sorted({*_chosen(sample, (n[0], n[1]), FEATURES), *identity})
+        rows = _rows(sample, vocabulary, list(identity)).combine_chunks()
+    x, swaps = (rows[c].combine_chunks() if rows[c].num_chunks != 1 else rows[c].chunk(0) for c in ("x", "swaps"))
+    w = fit_weights(x, rows["toxic"].to_numpy().astype(float), swaps, len(vocabulary))
     return dict(zip(vocabulary, w[:-1].tolist(), strict=True)), float(w[-1])
 
 
@@ -168,8 +174,9 @@ def with_scores(docs: DataFrame, labels: DataFrame, name: str = "toxicity") -> D
     Needs doc_id and text in ``docs``, doc_id and toxic in ``labels``. A null or
     empty text gets the score of a text without features. Rows with a null
     doc_id are scored and never learnt from. Labels other than 0 and 1 count as
-    none; with several labels for one id the highest holds. Equal rows get equal
-    scores. Every other column passes through unread.
+    none; with several labels for one id the highest holds, and of several texts
+    the least is learnt from. Equal rows get equal scores, and texts of any
+    length are read whole. Every other column passes through unread.
     """
     weights, bias = fit(docs, labels)
     return docs.withColumn(name, score_column(weights, bias)(F.col("text")))

@@ -42,6 +42,13 @@ def test_language_edges(spark):
     assert {r["lang_pred"] for r in langid.language(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_repeated_rows(spark):
+    rows = [(i, "the same words of one text", "en") for i in range(1000)] + [(5000, "½ ²", "en"), (5001, " ".join(["la misma cosa"] * 9000), "es"), (5002, "... 1 ... " * 900 + "sí", "es")]
+    for ids in (0, 1_000_003):
+        out = {r["doc_id"]: r["lang_pred"] for r in langid.language(spark.createDataFrame([(i + ids, t, g) for i, t, g in rows], "doc_id long, text string, lang string")).collect()}
+        assert {out[i + ids] for i in range(1000)} == {"en"} and out[5000 + ids] == "und" and out[5001 + ids] == "es"
+
+
 # decontamination
 
 
@@ -323,6 +330,22 @@ def test_counterfactual_penalty_closes_the_gap():
     assert gap(fair) < 0.2 * gap(free)
 
 
+def test_swapping_a_group_hardly_moves_a_score(spark, rng):
+    rows, labels = toxic_rows(rng, 600)
+    weights, bias = toxicity.fit(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    score = lambda t: 1 / (1 + math.exp(-sum(weights[f] for f in toxicity.features(t) & weights.keys()) - bias))
+    named = [(score(t), [score(s) for s in toxicity.swapped(t, toxicity.IDENTITY)]) for _, t in rows]
+    gaps = [abs(a - b) for a, swaps in named for b in swaps]
+    assert len(gaps) > 200 and np.mean(gaps) < 0.02 and max(gaps) < 0.25
+    assert any(w < 0 for w in weights.values()) and any(w > 0 for w in weights.values())
+
+
+def test_repeated_id_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(2, f"text {i}") for i in range(500)] + [(4, "x")], DOCS)
+    labels = spark.createDataFrame([(2, 1), (4, 0)], "doc_id long, toxic int")
+    assert toxicity.sample_of(docs, labels, toxicity.SAMPLE).groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
 def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 0), (None, 1), (7, 5)], "doc_id long, toxic int")
     docs = clashing(spark, EDGE)
