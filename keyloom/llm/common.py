@@ -69,6 +69,11 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     del paths[:]
 
 
+def bound(value: str, name: str, use: str) -> str:
+    """SQL of ``use`` with ``value`` as ``name``, computed once a row however often ``use`` or its lambdas name it."""
+    return f"get(transform(array({value}), {name} -> {use}), 0)"
+
+
 def rekey(c: Column) -> Column:
     """The same number as an expression of its own.
 

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import cut, rekey, scratch, small
+from keyloom.llm.common import bound, cut, rekey, scratch, small
 
 #: Least share of a value's information that a term must reveal, by the category of the word as it stands there.
 DISCLOSURE = {"NUMBER": 0.9, "NAME": 0.9, "TERM": 0.9}
@@ -48,11 +48,6 @@ _OPEN, _CLOSE = "\ue000", "\ue001"
 _PIECE = 1024
 
 
-def _bound(value: str, name: str, use: str) -> str:
-    """SQL of ``use`` with ``value`` as ``name``, computed once a row however often ``use`` or its lambdas name it."""
-    return f"get(transform(array({value}), {name} -> {use}), 0)"
-
-
 def _running(numbers: str, step: str) -> str:
     """SQL of the running result of ``step``, an associative function of {a} and {b} with neutral 0, over the array<int> named ``numbers``.
 
@@ -65,7 +60,7 @@ def _running(numbers: str, step: str) -> str:
     blocks = f"transform(sequence(0, CAST(ceil(size({numbers}) / width) AS INT) - 1), i -> {scan(f'slice({numbers}, i * width + 1, width)')})"
     joined = f"flatten(transform(parts, (part, i) -> transform(part, n -> {step.format(a='IF(i > 0, get(totals, i - 1), 0)', b='n')})))"
     totals = scan("transform(parts, part -> element_at(part, -1))")
-    some = _bound(f"CAST(ceil(sqrt(size({numbers}))) AS INT)", "width", _bound(blocks, "parts", _bound(totals, "totals", joined)))
+    some = bound(f"CAST(ceil(sqrt(size({numbers}))) AS INT)", "width", bound(blocks, "parts", bound(totals, "totals", joined)))
     return f"IF(size({numbers}) > 0, {some}, {ints})"
 
 
@@ -78,7 +73,7 @@ def located(text: str, pattern: str) -> str:
     """SQL of array<struct<start, end, value>> of the matches, in code points: lengths of the parts between matches add up."""
     lengths = "transform(found, x -> length(x.`0`) + length(x.`1`))"
     spans = "zip_with(found, ends, (x, e) -> named_struct('start', e - length(x.`1`), 'end', e, 'value', x.`1`))"
-    return _bound(f"filter({_parts(text, pattern)}, x -> x.`1` IS NOT NULL)", "found", _bound(lengths, "lengths", _bound(_running("lengths", "{a} + {b}"), "ends", spans)))
+    return bound(f"filter({_parts(text, pattern)}, x -> x.`1` IS NOT NULL)", "found", bound(lengths, "lengths", bound(_running("lengths", "{a} + {b}"), "ends", spans)))
 
 
 def _valid(kind: str, value: str) -> str:
@@ -88,7 +83,7 @@ def _valid(kind: str, value: str) -> str:
     if kind == "card":
         digit = "CAST(substring(d, length(d) - k + 1, 1) AS INT)"  # the k-th from the right
         luhn = f"aggregate(sequence(1, length(d)), 0, (a, k) -> a + CASE WHEN k % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN {digit} * 2 - 9 ELSE {digit} * 2 END) % 10 = 0"
-        return _bound(f"regexp_replace({value}, '[ -]', '')", "d", f"IF(length(d) BETWEEN 16 AND 19, {luhn}, false)")
+        return bound(f"regexp_replace({value}, '[ -]', '')", "d", f"IF(length(d) BETWEEN 16 AND 19, {luhn}, false)")
     if kind == "phone":
         return f"length(regexp_replace({value}, '[^0-9]', '')) BETWEEN 8 AND 15"
     return "true"
@@ -119,7 +114,7 @@ def _each_replaced(rows: DataFrame, name: str, fill: Callable[[str, str], str])
     for k in KINDS:
         put = f"concat(x.`0`, CASE WHEN x.`1` IS NULL THEN '' WHEN {_valid(k, 'x.`1`')} THEN {fill(k, 'x.`1`')} ELSE x.`1` END)"
         made = f"IF({_gate(k, 'old')}, array_join(transform({_parts('old', PATTERNS[k])}, x -> {put}), ''), old)"
-        rows = rows.withColumn(name, F.expr(_bound(name, "old", made)))
+        rows = rows.withColumn(name, F.expr(bound(name, "old", made)))
     return rows
 
 
@@ -260,7 +255,7 @@ def _filled(text: str, spans: str) -> str:
     put = f"concat(array_join(transform(found, (s, i) -> {one}), ''), {between('element_at(ends, -1)', f'length({text})')})"
     ends = _running("stops", "greatest({a}, {b})")
     pieces = f"regexp_extract_all({text}, '(?s).{{1,{_PIECE}}}', 0)"
-    return _bound(spans, "found", _bound(pieces, "pieces", _bound("transform(found, s -> s.end)", "stops", _bound(ends, "ends", put))))
+    return bound(spans, "found", bound(pieces, "pieces", bound("transform(found, s -> s.end)", "stops", bound(ends, "ends", put))))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

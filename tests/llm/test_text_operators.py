@@ -282,6 +282,43 @@ def test_every_licence_of_a_document_is_found(spark):
     assert out[1]["labels"] == "lgpl"
 
 
+def brute_licences(text):
+    """(labels, best share, alignments) over every template at every place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, best, n = {label for p, label in license_scan.PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.split()}, 0.0, 0
+    base = bool(labels)
+    for label, wording, phrase in license_scan.TEMPLATES:
+        words, need = wording.split(), phrase.split()
+        places = [p for p, x in enumerate(words) if x not in license_scan.FUNCTION_WORDS]
+        off = next(i for i in range(len(words)) if words[i : i + len(need)] == need)
+        for s in range(-len(words), len(w)):
+            share = sum(0 <= s + p < len(w) and w[s + p] == words[p] for p in places) / len(places)
+            if share >= license_scan.COVERAGE:
+                n += 1
+                if s + off >= 0 and w[s + off : s + off + len(need)] == need:
+                    labels.add(label)
+                    best = max(best, share)
+    return ",".join(sorted(labels)), 1.0 if base else best, n
+
+
+def test_licence_labels_equal_brute_force(spark, rng):
+    texts = []
+    for _ in range(60):
+        parts = [sentence(rng, rng.randrange(30))]
+        for _ in range(rng.randrange(4)):
+            w = rng.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(rng.choice((0, 0, 2, len(w) // 3, len(w) // 2))):
+                w[rng.randrange(len(w))] = rng.choice(("edited", "license", "the"))
+            lo = rng.choice((0, 0, 0, len(w) // 3))
+            parts.append(rng.choice((" ", ", ", "\n")).join(w[lo:]).title())
+        texts.append(". ".join(parts))
+    out = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    assert len({r["labels"] for r in out}) > 8
+    for r in out:
+        labels, score, n = brute_licences(texts[r["doc_id"]])
+        assert (r["labels"], r["candidates"]) == (labels, n) and abs(r["score"] - score) < 1e-12, texts[r["doc_id"]]
+
+
 def test_licence_edges(spark):
     assert license_scan.scan(clashing(spark, EDGE)).count() == len(EDGE)
     assert license_scan.scan(spark.createDataFrame([], DOCS)).count() == 0
