@@ -1,5 +1,6 @@
 """Language, decontamination, PII, licences, toxicity and packing."""
 
+import base64
 import hashlib
 import math
 import re
@@ -397,7 +398,8 @@ def test_toxicity_edges(spark):
 
 def test_pack_fits_and_downsizes(rng):
     lengths = np.array([rng.randrange(0, 8193) for _ in range(500)])
-    bins, places, caps = packing.pack(lengths)
+    bins, places, caps, opened = packing.pack(lengths)
+    assert len(set(opened.tolist())) > 1 and (opened >= caps).all()
     for b in np.unique(bins):
         at = np.flatnonzero(bins == b)
         order = at[np.argsort(places[at], kind="stable")]
@@ -405,9 +407,70 @@ def test_pack_fits_and_downsizes(rng):
         assert (places[order][1:] == ends[:-1]).all() and ends[-1] <= caps[at[0]]
         assert caps[at[0]] == min(c for c in packing.CAPACITIES if c >= lengths[at].sum())
     assert lengths.sum() / sum(caps[np.flatnonzero(bins == b)[0]] for b in np.unique(bins)) > 0.95
-    assert [list(x) for x in packing.pack(np.array([100, 300]))] == [[0, 0], [300, 0], [512, 512]]
+    assert [list(x) for x in packing.pack(np.array([100, 300]))][:3] == [[0, 0], [300, 0], [512, 512]]
 
 
+def least_room(lengths, caps):
+    """The smallest sum of capacities of any packing, by trying all partitions."""
+    best = [sum(min(c for c in caps if c >= n) for n in lengths)]
+
+    def put(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(min(c for c in caps if c >= b) for b in bins))
+            return
+        for j in range(len(bins)):
+            if bins[j] + lengths[k] <= max(caps):
+                put(k + 1, [*bins[:j], bins[j] + lengths[k], *bins[j + 1 :]])
+        put(k + 1, [*bins, lengths[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_pack_is_near_the_best_packing(rng):
+    caps, ratios, opened = (8, 13, 20, 32), [], set()
+    for _ in range(150):
+        lengths = np.array([rng.randrange(1, 33) if rng.random() < 0.4 else rng.randrange(1, 9) for _ in range(rng.randrange(1, 8))])
+        bins, _, final, at = packing.pack(lengths, caps, overhead=1, attention=96)
+        room = sum(final[np.flatnonzero(bins == b)[0]] for b in np.unique(bins))
+        ratios.append(room / least_room(lengths.tolist(), caps))
+        opened |= set(at.tolist())
+    assert opened == set(caps) and np.mean(ratios) < 1.08 and max(ratios) <= 1.7
+
+
+def test_lengths_decide_the_capacity():
+    at = lambda *lengths: set(packing.pack(np.array(lengths))[3].tolist())
+    assert at(*[500] * 40) < set(packing.CAPACITIES) and max(at(*[500] * 40)) < 8192  # small ones need no long sequence
+    assert at(*[1000] * 9) != at(*[1400] * 9) and at(5000, 4000) == {8192, 4096}
+
+
+def test_sequences_hold_the_tokens_of_their_documents(spark):
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
+    tool = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
+    rows = [*EDGE, *[(70, "a hot row ü")] * 40]
+    out = packing.packed_sequences(clashing(spark, rows), capacities=(64, 512, 2048)).collect()
+    got = {}
+    for r in out:
+        assert len(r["ids"]) == r["n_tokens"] <= r["capacity"] and sum(p["n_tokens"] for p in r["pieces"]) == r["n_tokens"]
+        for p in r["pieces"]:
+            got.setdefault(p["doc_id"], []).append((p["first"], r["ids"][p["place"] : p["place"] + p["n_tokens"]]))
+    want = {}
+    for i, t in rows:
+        want.setdefault(i, []).append([*tool.encode_ordinary(t or ""), packing.END])
+    for i, texts in want.items():
+        assert sorted(sum((x for _, x in sorted(got[i])), [])) == sorted(sum(texts, []))
+    assert sum((x for _, x in sorted(got[6])), []) == want[6][0]
+
+
+def test_rows_of_one_id_are_dealt_out(spark):
+    out = packing.best_fit(spark.createDataFrame([(1, 100)] * 3000, "doc_id long, n_tokens long"), group=500)
+    sizes = [r["count"] for r in out.groupBy(F.split("bin", "-")[0].alias("g")).count().collect()]
+    assert sum(sizes) == 3000 and len(sizes) == 6 and max(sizes) < 700
+
 def test_best_fit_is_whole(spark):
     rows = [(None, 5), (2**60 + 1, 20000), (3, None), (3, 7), (3, 7), (4, -2), (5, 8192)]
     df = clashing(spark, rows, "doc_id long, n_tokens long")
