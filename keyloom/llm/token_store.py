@@ -6,14 +6,14 @@ holds the next chunk of those only, and so on. A rank directory counts the set
 bits before every 512th position, so token i is read by one look-up a level,
 without decoding what stands before it.
 
-Files are Parquet with one row a segment: whole documents of about
-``SEGMENT`` tokens, in ascending doc_id order over the shards and segments.
+Files are Parquet, not compressed, with one row a segment: whole documents of
+about ``SEGMENT`` tokens, in ascending doc_id order over the shards and segments.
+``read_tokens`` finds tokens by their number in the whole store.
 """
 
 from __future__ import annotations
 
 import os
-import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,7 +36,7 @@ SLICE = 18 << 20
 #: Words of one call of the tokenizer.
 ROW = 10_000
 _WHITE = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-#: A space beside other white space; texts with one are encoded whole.
+#: A space beside other white space; texts with one, or with the string of a special token, are encoded whole.
 _RUN = f" {_WHITE}|{_WHITE} "
 
 SCHEMA = (
@@ -98,7 +98,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_str(model)
-        self.tool.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         # a token of the byte-level alphabet has a character for each of its bytes
         self.width = np.zeros(self.tool.get_vocab_size(), dtype=np.int64)
         for token, i in self.tool.get_vocab().items():
@@ -146,6 +146,8 @@ class Encoder:
         """The ids of each text as unsigned 32-bit numbers in the machine's byte order."""
         texts = texts.cast(pa.large_string())
         runs = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
+        for special in self.special:  # such a string is one token wherever it stands
+            runs = runs | pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         odd = iter(self._plain(texts.filter(pa.array(runs)).to_pylist()) if runs.any() else ())
         split = pc.split_pattern(pc.if_else(pa.array(runs), "", texts), " ")
         offsets = split.offsets.to_numpy()
@@ -199,13 +201,15 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
         yield texts.slice(lo, hi - lo)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
 def encoder_of(model: str) -> Encoder:
     """The encoder of this worker process, kept from task to task."""
-    kept = sys.__dict__.setdefault("_token_encoders", {})
-    if (key := hash(model)) not in kept:
-        kept.clear()
-        kept[key] = Encoder(model)
-    return kept[key]
+    if model not in _encoders:
+        _encoders.clear()
+        _encoders[model] = Encoder(model)
+    return _encoders[model]
 
 
 def write_tokens(docs: DataFrame, path: str, model: str, end: int = END, segment: int = SEGMENT) -> None:
@@ -248,7 +252,7 @@ def write_tokens(docs: DataFrame, path: str, model: str, end: int = END, segment
         if docs_in:
             yield flush()
 
-    rows.mapInArrow(run, SCHEMA).write.parquet(path)
+    rows.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -274,11 +278,42 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
+def read_tokens(spark: SparkSession, path: str, positions: DataFrame, column: str = "position") -> DataFrame:
+    """(position, token) for each different number in a column of ``positions``: the tokens at these places of the whole store.
+
+    Only the segments that hold a position are joined with their codes, and each
+    token is read by ranks. Places before the first or behind the last token, and
+    nulls, give no row.
+    """
+    store = spark.read.schema(SCHEMA).parquet(path)
+    totals = store.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row a shard
+    before = F.broadcast(totals.select(F.col("shard").alias("in"), (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"), "n"))
+    wanted = positions.select(F.col(column).cast("long").alias("position")).distinct()
+    placed = wanted.join(before, (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("n"))).select("position", F.col("in").alias("shard"), (F.col("position") - F.col("before")).alias("at"))
+    # the segment of a place is the last one of its shard that begins there or before it
+    order = Window.partitionBy("shard", "part").orderBy("at", F.col("position").isNotNull())
+    part = F.floor(F.col("at") / (SEGMENT * 1024))  # a segment that reaches into a later part is told to it
+    reach = store.select("shard", "first", F.explode(F.sequence(F.floor(F.col("first") / (SEGMENT * 1024)), F.floor((F.col("first") + F.col("n_tokens") - 1) / (SEGMENT * 1024)))).alias("part"))
+    begins = reach.select("shard", "part", F.col("first").alias("at"), F.col("first").alias("segment"), F.lit(None).cast("long").alias("position"))
+    both = begins.unionByName(placed.select("shard", part.alias("part"), "at", F.lit(None).cast("long").alias("segment"), "position"))
+    found = both.withColumn("first", F.last("segment", ignorenulls=True).over(order)).where("position is not null")
+    asked = found.groupBy("shard", "first").agg(F.collect_list(F.struct("position", (F.col("at") - F.col("first")).alias("i"))).alias("asked"))  # a segment has some ten thousand tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                codes = [batch.column(k)[r].as_py() for k in range(3)]
+                rows = batch.column(3)[r].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([x["position"] for x in rows], pa.int64()), pa.array([token_at(*codes, x["i"]) for x in rows], pa.int64())], names=["position", "token"])
+
+    return store.join(asked, ["shard", "first"]).select("levels", "bitmaps", "ranks", "asked").mapInArrow(run, "position long, token long")
+
+
 def token_digests(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     """Write ``docs`` to a new store in the shared folder and read back (doc_id, start, n_tokens, ids_crc32).
 
     An empty table makes an empty store and an empty result; repeated rows and
-    ids are documents of their own.
+    ids are documents of their own, and texts of any length are encoded whole.
     """
     import public_tokenizers
 
