@@ -25,8 +25,7 @@ def test_token_store_equals_whole_encoding(spark):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
-    rows = [*EDGE, (-5, "a  b\n\n\tc <|endoftext|> it's  "), (-4, "don't  'll 123abc   "), (-3, "x  y\r\n")]
+    rows = [*EDGE, (-5, "a  b\n\n\tc <|endoftext|> it's  "), (-6, "a <|endoftext|> b"), (-7, "x<|endoftext|>y z"), (-4, "don't  'll 123abc   "), (-3, "x  y\r\n")]
     out = sorted(token_store.token_digests(clashing(spark, rows)).collect(), key=lambda r: r["start"])
     assert len(out) == len(rows)
     texts, at, last = {}, 0, None
@@ -41,6 +40,18 @@ def test_token_store_equals_whole_encoding(spark):
     assert token_store.token_digests(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_store_gives_random_access(spark, rng, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "SEGMENT", 2)  # many parts of many segments
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((0, 3, 400, 6000))))) for i in range(30)] + EDGE
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        token_store.write_tokens(spark.createDataFrame(rows, DOCS), str(tmp_path / "s"), f.read(), segment=900)
+    every = sorted((r["start"], np.frombuffer(bytes(r["ids"]), "<u4")) for r in token_store.read_documents(spark, str(tmp_path / "s")).collect() if r["n_tokens"])
+    flat = np.concatenate([x for _, x in every])
+    ask = [0, len(flat) - 1, len(flat), -1, None] + [rng.randrange(len(flat)) for _ in range(400)]
+    got = {r["position"]: r["token"] for r in token_store.read_tokens(spark, str(tmp_path / "s"), spark.createDataFrame([(a,) for a in ask], "position long")).collect()}
+    assert got == {a: int(flat[a]) for a in ask if a is not None and 0 <= a < len(flat)}
+
+
 MAGIC = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n\r\n"
 
 
