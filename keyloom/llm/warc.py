@@ -14,6 +14,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import numpy as np
 import pandas as pd
@@ -43,24 +44,29 @@ def write_archive(pages: DataFrame, path: str, least: int = 0) -> None:
 
     Of rows with equal payloads of at least ``least`` bytes the smallest page_id is
     a response; the others are revisit records without content that refer to it.
-    A row with a null page_id is a revisit where an equal payload has an id.
+    A row with a null page_id is a revisit where an equal payload has an id. A
+    record's id is made of the page's id, url and payload: only rows that are
+    equal in all three share one. Payloads of any length are written whole.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("hex", F.sha1(F.col("html").cast("binary")))
-    same = rows.where(F.octet_length("html") >= least).groupBy("hex").agg(F.min("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").select(F.col("hex").alias("copied"), "response")
+    rows = rows.withColumn("tag", F.hex(F.xxhash64("url", "hex")))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "tag"))).alias("first")
+    same = rows.where(F.octet_length("html") >= least).groupBy("hex").agg(first, F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("hex").alias("copied"), F.col("first.page_id").alias("response"), F.col("first.tag").alias("response_tag"))
     rows = rows.join(small(cut(same)), F.col("hex") == F.col("copied"), "left")
     revisit = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    urn = lambda c, tag: F.concat(F.lit("<urn:x-page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(":"), tag, F.lit(">"))
     line = lambda name, c: F.concat(F.lit(f"{name}: "), c, F.lit("\r\n"))
     size = F.octet_length("html").cast("string")
     record = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", urn(F.col("page_id"))),
+        line("WARC-Record-ID", urn("page_id", "tag")),
+        line("WARC-Date", F.lit(datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"))),
         line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", " ")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("hex")))),
         line("X-Payload-Length", size),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn(F.col("response"))))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Refers-To", urn("response", "response_tag")))).otherwise(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(revisit, "0").otherwise(size)),
         F.lit("\r\n"),
@@ -189,7 +195,12 @@ def _contents(spark: SparkSession, path: str, base: DataFrame, records: DataFram
 
     pieces = _pieces(spark, path).mapInArrow(run, "file string, block long, value binary, rel long").join(small(base), ["file", "block"])
     pieces = pieces.select(F.col("file").alias("in"), (F.col("base") + F.col("rel")).alias("place"), "value")
-    own = pieces.join(small(records), (F.col("in") == F.col("file")) & F.col("place").between(F.col("at"), F.col("to") - len(MAGIC) - 1))
+    # a piece belongs to the last record that begins at it or before it, if that is not over
+    begins = records.select(F.col("file").alias("in"), F.col("at").alias("place"), F.struct("file", "at", "to", "skip", "size").alias("begin"))
+    both = begins.unionByName(pieces.select("in", "place"), allowMissingColumns=True)
+    last = F.last("begin", ignorenulls=True).over(Window.partitionBy("in").orderBy("place", F.col("begin").isNull()))
+    held = both.withColumn("record", last).where(F.col("begin").isNull() & (F.col("place") < F.col("record.to") - len(MAGIC))).select(F.col("in").alias("of"), F.col("place").alias("there"), "record.*")
+    own = pieces.join(held, (F.col("in") == F.col("of")) & (F.col("place") == F.col("there")))
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", F.hex("value").alias("h")))), lambda p: p["h"]), MAGIC.encode().hex().upper())
     grouped = own.groupBy("file", "at", "skip", "size").agg(F.unhex(text).alias("bytes"))
     return grouped.select("file", "at", "size", F.substring("bytes", F.col("skip").cast("int") + 1, F.col("size").cast("int")).alias("content"))
@@ -215,9 +226,9 @@ def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
     field = lambda name, value: F.nullif(F.regexp_extract("head", rf"(?im)^{name}: {value}\r?$", 1), F.lit(""))
     revisit = field("WARC-Type", "([a-z]+)") == "revisit"
     return records.select(
-        field("WARC-Record-ID", r"<urn:x-page:(-?\d+)>").cast("long").alias("page_id"),
+        field("WARC-Record-ID", r"<urn:x-page:(-?\d+):[0-9A-F]+>").cast("long").alias("page_id"),
         F.when(revisit, field("X-Payload-Length", r"(\d+)").cast("long")).otherwise(F.col("size")).alias("payload_bytes"),
         F.when(revisit, field("WARC-Payload-Digest", "sha1:([A-Z2-7]+)")).otherwise(base32_of_hex(F.col("sha1"))).alias("payload_digest"),
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, field("WARC-Refers-To", r"<urn:x-page:(-?\d+)>").cast("long")).alias("refers_to"),
+        F.when(revisit, field("WARC-Refers-To", r"<urn:x-page:(-?\d+):[0-9A-F]+>").cast("long")).alias("refers_to"),
     )

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -77,6 +78,15 @@ def test_archive_round_trip(spark, tmp_path):
     assert content >= {hashlib.sha1((h or "").encode()).hexdigest() for _, _, h in rows}
 
 
+def test_records_have_a_date_and_ids_of_their_own(spark, tmp_path):
+    rows = [(1, "a", "p"), (1, "b", "p"), (1, "a", "q"), (None, "a", "r"), (None, "a", "s"), (2, "c", "p")]
+    warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "d"))
+    heads = [r["head"] for r in warc.read_records(spark, str(tmp_path / "d")).collect()]
+    field = lambda name: [re.search(rf"(?m)^{name}: (\S+)\r?$", h)[1] for h in heads if re.search(rf"(?m)^{name}:", h)]
+    assert len(set(field("WARC-Record-ID"))) == len(rows) and set(field("WARC-Refers-To")) <= set(field("WARC-Record-ID"))
+    assert len(field("WARC-Date")) == len(rows) and all(re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", d) for d in field("WARC-Date"))
+
+
 def test_archive_edges(spark, tmp_path):
     assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     (tmp_path / "cut.warc").write_bytes(b"WARC/1.1\r\nContent-Length: 2\r\n\r\nok\r\n\r\nWARC/1.1\r\nContent-Length: 50\r\n\r\nhalf")
