@@ -6,6 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Bits of a block of a bitmap that is written out.
+BLOCK = 1 << 16
+
 
 def set_bits(log: DataFrame, keys: list[str], bit: str = "bit", on: str = "on", seq: str = "seq") -> DataFrame:
     """SETBIT fold: the bits whose last write was 1."""
@@ -37,7 +40,10 @@ def bit_op(bits: DataFrame, op: str, sources: list[str], key: str = "key", bit:
         if len(sources) != 1:
             raise ValueError("NOT takes one source")
         width = rows.agg(((F.floor(F.max(bit) / 8) + 1) * 8).alias("_n"))
-        every = width.where("_n > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias(bit))
+        # blocks first, so that no row holds all bits of a wide bitmap
+        block = width.where("_n > 0").select("_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / BLOCK))).alias("_b"))
+        top = F.least(F.col("_n"), (F.col("_b") + 1) * BLOCK) - 1
+        every = block.select(F.explode(F.sequence(F.col("_b") * BLOCK, top)).alias(bit))
         return every.join(rows.select(F.col(bit).cast("bigint").alias(bit)), bit, "left_anti")
     n = rows.groupBy(bit).agg(F.count("*").alias("_n"))
     keep = {"AND": F.col("_n") == len(set(sources)), "OR": F.lit(True), "XOR": F.col("_n") % 2 == 1}[op]

@@ -77,6 +77,13 @@ def scan_page(df: DataFrame, after: str | None, count: int, pattern: str = "*",
     return rows.orderBy(key).limit(count)
 
 
+def scan_pages(df: DataFrame, keys: list[str], member: str, after: object, count: int, pattern: str = "*") -> DataFrame:
+    """HSCAN, SSCAN, ZSCAN for every key at once: the next ``count`` matching members of each key beyond the cursor ``after``."""
+    rows = df if after is None else df.where(F.col(member) > F.lit(after))
+    rows = rows if pattern == "*" else rows.where(matches(F.col(member), pattern))
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(member))).where(F.col("_n") <= count).drop("_n")
+
+
 def rename(df: DataFrame, pairs: DataFrame, key: str = "key", only_new: bool = False) -> DataFrame:
     """RENAME and RENAMENX: ``pairs`` (src, dst) move all rows of src to dst; an old dst goes, or with ``only_new`` the pair is void."""
     names = df.select(key).distinct()

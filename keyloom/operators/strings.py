@@ -82,3 +82,34 @@ def getdel(table: DataFrame, requests: DataFrame, key: str = "key") -> tuple[Dat
 def setex(rows: DataFrame, now: Column, seconds: Column, expire_at: str = "expire_at") -> DataFrame:
     """SETEX, PSETEX, GETEX EX: rows whose expiry is ``seconds`` (fractions allowed) after ``now``; a lifetime that is not positive is refused."""
     return rows.where(seconds > 0).withColumn(expire_at, now + F.make_dt_interval(secs=seconds))
+
+
+def _applied(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """The SET commands of a log that write: a key is there from its first command without XX on, and NX ones after that are void."""
+    born = log.where(~F.col("xx")).groupBy(*keys).agg(F.min(seq).alias("_born"))
+    return log.join(born, keys).where((F.col(seq) == F.col("_born")) | ((F.col(seq) > F.col("_born")) & ~F.col("nx"))).drop("_born")
+
+
+def set_options(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """SET with EX, PX, EXAT, PXAT (``expire_at``, null for none), KEEPTTL, NX and XX (booleans): value and expiry of each key after the log.
+
+    Keys do not lapse between the commands of one log; ``keyspace.live`` drops
+    what has lapsed at its end.
+    """
+    done = _applied(log, keys, seq)
+    lifetime = F.max_by(F.when(~F.col("keepttl"), F.struct("expire_at")), F.when(~F.col("keepttl"), F.col(seq)))
+    return done.groupBy(*keys).agg(F.max_by("value", seq).alias("value"), lifetime["expire_at"].alias("expire_at"))
+
+
+def set_returns(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
+    """What each SET with GET returns: the value before it (``old``), null where the key was not there."""
+    done = _applied(log, keys, seq).select(*keys, seq, F.lit(True).alias("_applied"))
+    w = Window.partitionBy(*keys).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    wrote = log.join(done, [*keys, seq], "left")
+    return wrote.withColumn("old", F.last(F.when(F.col("_applied"), F.col("value")), ignorenulls=True).over(w)).drop("_applied")
+
+
+def getex(table: DataFrame, requests: DataFrame, key: str = "key") -> DataFrame:
+    """GETEX: ``table`` (key, value, expire_at) after ``requests`` (key, persist, new_expire_at): PERSIST drops the expiry, a new one replaces it, neither keeps it."""
+    after = F.when(F.col("persist"), None).otherwise(F.coalesce("new_expire_at", "expire_at"))
+    return table.join(requests, key, "left").withColumn("expire_at", after).drop("persist", "new_expire_at")

@@ -59,16 +59,60 @@ def key_dbsize(t: Tables) -> DataFrame:
     return keyspace.catalogue({"set": t.customer.select(F.col("c_mktsegment").alias("key")), "string": t.nation.select(F.col("n_name").alias("key"))}).agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT event_type AS field FROM events WHERE user_id = 7 AND event_type > 'click' AND event_type LIKE '%e%' ORDER BY 1 LIMIT 2")
+@query("""
+SELECT key, field FROM (SELECT key, field, row_number() OVER (PARTITION BY key ORDER BY field) AS n
+FROM (SELECT DISTINCT user_id AS key, event_type AS field FROM events) WHERE field > 'click' AND field LIKE '%e%') WHERE n <= 2
+""")
 def hash_hscan(t: Tables) -> DataFrame:
-    one = t.events.where("user_id = 7").select(F.col("event_type").alias("field")).distinct()
-    return keyspace.scan_page(one, "click", 2, "*e*", "field")
+    hashes = t.events.select(F.col("user_id").alias("key"), F.col("event_type").alias("field")).distinct()
+    return keyspace.scan_pages(hashes, ["key"], "field", "click", 2, "*e*")
 
 
-@query("SELECT CAST(l_suppkey AS BIGINT) AS key, l_partkey AS member FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) WHERE l_suppkey = 5 AND l_partkey > 100 ORDER BY l_partkey LIMIT 10")
+@query("""
+SELECT key, member FROM (SELECT key, member, row_number() OVER (PARTITION BY key ORDER BY member) AS n
+FROM (SELECT DISTINCT CAST(l_suppkey AS BIGINT) AS key, l_partkey AS member FROM lineitem) WHERE member > 100) WHERE n <= 10
+""")
 def set_sscan(t: Tables) -> DataFrame:
-    one = t.lineitem.where("l_suppkey = 5").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("member")).distinct()
-    return keyspace.scan_page(one.where("member > 100"), None, 10, key="member")
+    sets = t.lineitem.select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("member")).distinct()
+    return keyspace.scan_pages(sets, ["key"], "member", 100, 10)
+
+
+@query(f"WITH {zset_queries.BOARD_SQL} SELECT key, member, score FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY member) AS n FROM b WHERE member > 50) WHERE n <= 5")
+def zset_zscan(t: Tables) -> DataFrame:
+    return keyspace.scan_pages(zset_queries._board(t), ["key"], "member", 50, 5).select("key", "member", "score")
+
+
+_SET_SQL = """
+l AS (SELECT user_id AS key, event_id AS seq, event_type AS value, event_type = 'signup' AS nx, event_type = 'click' AS xx, event_type = 'view' AS keepttl,
+    CASE WHEN event_type <> 'error' AND event_type <> 'view' THEN ts + INTERVAL 1 DAY END AS expire_at FROM events),
+f AS (SELECT key, min(seq) AS born FROM l WHERE NOT xx GROUP BY 1), a AS (SELECT l.*, born FROM l JOIN f USING (key) WHERE seq = born OR (seq > born AND NOT nx))
+"""
+
+
+def _sets(t: Tables) -> DataFrame:
+    kind = F.col("event_type")
+    lifetime = F.when(~kind.isin("error", "view"), F.col("ts") + F.make_dt_interval(days=F.lit(1)))
+    return t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), kind.alias("value"), (kind == "signup").alias("nx"), (kind == "click").alias("xx"), (kind == "view").alias("keepttl"), lifetime.alias("expire_at"))
+
+
+@query(f"WITH {_SET_SQL} SELECT key, arg_max(value, seq) AS value, arg_max(CAST(expire_at AS VARCHAR), seq) FILTER (NOT keepttl AND expire_at IS NOT NULL AND seq = z) AS expire_at FROM (SELECT *, max(CASE WHEN NOT keepttl THEN seq END) OVER (PARTITION BY key) AS z FROM a) GROUP BY 1")
+def str_set_options(t: Tables) -> DataFrame:
+    return strings.set_options(_sets(t), ["key"]).select("key", "value", F.date_format("expire_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("expire_at"))
+
+
+@query(f"WITH {_SET_SQL}, h AS (SELECT key, seq, value FROM a) SELECT l.key, l.seq, max_by(h.value, h.seq) AS old FROM l LEFT JOIN h ON h.key = l.key AND h.seq < l.seq GROUP BY ALL")
+def str_set_get(t: Tables) -> DataFrame:
+    return strings.set_returns(_sets(t), ["key"]).select("key", "seq", "old")
+
+
+@query("""
+SELECT o_orderkey AS key, o_orderstatus AS value, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 3 = 1 THEN CAST(o_orderdate + INTERVAL 2 DAY AS VARCHAR) ELSE CAST(o_orderdate + INTERVAL 30 DAY AS VARCHAR) END AS expire_at FROM orders
+""")
+def str_getex(t: Tables) -> DataFrame:
+    table = t.orders.select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("value"), (F.col("o_orderdate") + F.make_dt_interval(days=F.lit(30))).alias("expire_at"))
+    k = F.col("o_orderkey")
+    asked = t.orders.where(k % 3 < 2).select(k.alias("key"), (k % 3 == 0).alias("persist"), F.when(k % 3 == 1, F.col("o_orderdate") + F.make_dt_interval(days=F.lit(2))).alias("new_expire_at"))
+    return strings.getex(table, asked).select("key", "value", F.date_format("expire_at", "yyyy-MM-dd HH:mm:ss").alias("expire_at"))
 
 
 @query()
@@ -110,9 +154,9 @@ def zset_zincrby(t: Tables) -> DataFrame:
     return z.zadd(log, "INCR").withColumn("score", F.round("score", 3))
 
 
-@query(f"WITH {zset_queries.RANKED_SQL} SELECT key, member, rev AS rank FROM r WHERE member % 10 = 0")
+@query(f"WITH {zset_queries.RANKED_SQL} SELECT key, member, rev AS rank FROM r")
 def zset_zrevrank(t: Tables) -> DataFrame:
-    return z.ranked(zset_queries._board(t), True).where("member % 10 = 0").select("key", "member", "rank")
+    return z.ranked(zset_queries._board(t), True).select("key", "member", "rank")
 
 
 @query("SELECT o_custkey AS key, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS hits FROM orders WHERE o_totalprice > 250000 GROUP BY 1")
@@ -122,9 +166,9 @@ def json_path(t: Tables) -> DataFrame:
     return hits.select("key", F.regexp_replace("hits", r"[\[\]]", "").alias("hits"))
 
 
-@query("SELECT r.user_id AS pos, max_by(props ->> '$.k', event_id) AS value FROM (SELECT DISTINCT user_id FROM events) r LEFT JOIN events e ON e.user_id = r.user_id AND e.event_id % 5 = 0 GROUP BY 1")
+@query("SELECT r.user_id AS pos, max_by(props ->> '$.k', event_id) AS value FROM (SELECT DISTINCT user_id FROM events) r LEFT JOIN events e ON e.user_id = r.user_id GROUP BY 1")
 def json_mget(t: Tables) -> DataFrame:
-    last = keyspace.last_write(t.events.where("event_id % 5 = 0").select("user_id", "props", "event_id"), ["user_id"], ["props"], "event_id")
+    last = keyspace.last_write(t.events.select("user_id", "props", "event_id"), ["user_id"], ["props"], "event_id")
     asked = t.events.select("user_id").distinct()
     return asked.join(last, "user_id", "left").select(F.col("user_id").alias("pos"), jsondoc.get(F.col("props"), "$.k").alias("value"))
 

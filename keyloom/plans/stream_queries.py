@@ -38,10 +38,10 @@ def x_info(t: Tables) -> DataFrame:
     return x.xinfo(_stream(t))
 
 
-@query(f"""WITH {STREAM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, seq DESC) AS n FROM s), m AS (SELECT CAST(quantile_disc((epoch_us(ts) // 1000), 0.5) AS BIGINT) AS mid FROM events)
-SELECT key, ts_ms, seq FROM r WHERE n <= 500 AND ts_ms >= 0""")
+@query(f"""WITH {STREAM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_ms DESC, seq DESC) AS n FROM s)
+SELECT key, ts_ms, seq FROM r WHERE n <= 500 AND ts_ms >= 1706400000000""")
 def x_trim(t: Tables) -> DataFrame:
-    return x.xtrim_minid(x.xtrim_maxlen(_stream(t), 500), "0-0").select("key", "ts_ms", "seq")
+    return x.xtrim_minid(x.xtrim_maxlen(_stream(t), 500), "1706400000000-0").select("key", "ts_ms", "seq")
 
 
 @query(f"""WITH {STREAM_SQL}, l AS (SELECT key, max(CASE WHEN event_id % 11 = 0 THEN ts_ms END) AS last_ms FROM s GROUP BY 1) SELECT s.key, s.ts_ms, s.seq FROM s JOIN l USING (key) WHERE s.ts_ms > l.last_ms OR (s.ts_ms = l.last_ms AND s.seq > 0)""")

@@ -180,7 +180,11 @@ def key_randmember(t: Tables) -> DataFrame:
     return keyspace.pick(t.lineitem.select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("member")).distinct(), ["key"], "member", 3)
 
 
-@query()
+@query("""
+SELECT 'customer:' || c_custkey AS key, CAST(xor(list_reduce(list_prepend(65535, list_transform(string_split('customer:' || c_custkey, ''), lambda c: ascii(c))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda h, i: CASE WHEN h & 1 = 1 THEN xor(h >> 1, 40961) ELSE h >> 1 END)), 65535) % 16384 AS BIGINT) AS slot
+FROM customer
+""")
 def cluster_slot(t: Tables) -> DataFrame:
     return _customers(t).select("key", slot(F.col("key")).cast("bigint").alias("slot"))
 
@@ -221,37 +225,35 @@ def bit_pos_zero(t: Tables) -> DataFrame:
 
 
 def _op(op: str, having: str) -> str:
-    return f"SELECT user_id AS bit FROM (SELECT DISTINCT event_type, user_id FROM events WHERE event_type IN ('click', 'error', 'purchase') AND event_id % 4 = 0) GROUP BY 1 HAVING {having}"
+    return f"SELECT bit FROM (SELECT DISTINCT event_type, user_id * 32 + day(ts) AS bit FROM events WHERE event_type IN ('click', 'error', 'purchase')) GROUP BY 1 HAVING {having}"
+
+
+def _days(t: Tables) -> DataFrame:
+    """A bitmap for each type of event, with a bit for each user and day of the month."""
+    return t.events.select(F.col("event_type").alias("key"), (F.col("user_id") * 32 + F.dayofmonth("ts")).alias("bit"))
 
 
 @query(_op("AND", "count(*) = 3"))
 def bit_op_and(t: Tables) -> DataFrame:
-    return bits.bit_op(_active(Tables2(t)), "AND", ["click", "error", "purchase"])
+    return bits.bit_op(_days(t), "AND", ["click", "error", "purchase"])
 
 
 @query(_op("OR", "true"))
 def bit_op_or(t: Tables) -> DataFrame:
-    return bits.bit_op(_active(Tables2(t)), "OR", ["click", "error", "purchase"])
+    return bits.bit_op(_days(t), "OR", ["click", "error", "purchase"])
 
 
 @query(_op("XOR", "count(*) % 2 = 1"))
 def bit_op_xor(t: Tables) -> DataFrame:
-    return bits.bit_op(_active(Tables2(t)), "XOR", ["click", "error", "purchase"])
-
-
-class Tables2:
-    """The events of which every fourth counts."""
-
-    def __init__(self, t: Tables) -> None:
-        self.events = t.events.where("event_id % 4 = 0")
+    return bits.bit_op(_days(t), "XOR", ["click", "error", "purchase"])
 
 
 @query("""
-WITH d AS (SELECT DISTINCT user_id AS bit FROM events WHERE event_type = 'click' AND event_id % 4 = 0)
+WITH d AS (SELECT DISTINCT user_id * 32 + day(ts) AS bit FROM events WHERE event_type = 'click')
 SELECT u AS bit FROM generate_series(0, (SELECT (max(bit) // 8 + 1) * 8 - 1 FROM d)) g(u) WHERE u NOT IN (SELECT bit FROM d)
 """)
 def bit_op_not(t: Tables) -> DataFrame:
-    return bits.bit_op(_active(Tables2(t)), "NOT", ["click"])
+    return bits.bit_op(_days(t), "NOT", ["click"])
 
 
 @query("SELECT user_id AS key, user_id % 2 AS bit, count(*) AS n FROM (SELECT user_id, event_type, arg_max(event_id % 2, event_id) AS o FROM events GROUP BY ALL) WHERE o = 1 GROUP BY ALL")
@@ -260,9 +262,9 @@ def bit_setbit(t: Tables) -> DataFrame:
     return bits.set_bits(log, ["key"]).groupBy("key").agg(F.count("*").alias("n")).select("key", (F.col("key") % 2).alias("bit"), "n")
 
 
-@query("SELECT p_partkey AS key, CAST(bit_count(ascii(p_name[1])) + bit_count(ascii(p_name[2])) AS BIGINT) AS two, CAST((ascii(p_name[1]) >> 5) & 1 AS BIGINT) AS third FROM part")
+@query("SELECT p_partkey AS key, CAST(list_sum(list_transform(string_split(p_name, ''), lambda c: bit_count(ascii(c)))) AS BIGINT) AS n, CAST((ascii(p_name[1]) >> 5) & 1 AS BIGINT) AS third FROM part")
 def bit_bytes(t: Tables) -> DataFrame:
-    return t.part.select(F.col("p_partkey").alias("key"), bits.byte_bit_count(F.left("p_name", F.lit(2))).alias("two"), bits.get_bit(F.col("p_name"), 2).alias("third"))
+    return t.part.select(F.col("p_partkey").alias("key"), bits.byte_bit_count(F.col("p_name")).alias("n"), bits.get_bit(F.col("p_name"), 2).alias("third"))
 
 
 @query("SELECT p_partkey AS key, ascii(p_name[1]) || ',' || (ascii(p_name[1]) + 300) % 256 || ',' || 255 AS results FROM part")

@@ -160,6 +160,10 @@ def geo_pos(t: Tables) -> DataFrame:
     return _points(t).select("member", at.alias("p")).select("member", F.round("p.lon", 6).alias("lon"), F.round("p.lat", 6).alias("lat"))
 
 
-@query()
+@query(f"""
+WITH {POINTS_SQL}, c AS (SELECT member, CAST(floor((lon + 180) / 360 * 67108864) AS BIGINT) AS x, CAST(floor((lat + 90) / 180 * 67108864) AS BIGINT) AS y FROM p),
+s AS (SELECT member, CAST(list_sum(list_transform(range(26), lambda i: (((x >> CAST(i AS INT)) & 1) << CAST(2 * i + 1 AS INT)) + (((y >> CAST(i AS INT)) & 1) << CAST(2 * i AS INT)))) AS BIGINT) AS z FROM c)
+SELECT member, array_to_string(list_transform(range(11), lambda k: '0123456789bcdefghjkmnpqrstuvwxyz'[1 + CASE WHEN k = 10 THEN (z & 3) << 3 ELSE (z >> CAST(47 - 5 * k AS INT)) & 31 END]), '') AS geohash FROM s
+""")
 def geo_hash(t: Tables) -> DataFrame:
     return _points(t).select("member", geo.geohash(geo.score(F.col("lon"), F.col("lat"))).alias("geohash"))
