@@ -95,7 +95,7 @@ def _sets(t: Tables) -> DataFrame:
     return t.events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), kind.alias("value"), (kind == "signup").alias("nx"), (kind == "click").alias("xx"), (kind == "view").alias("keepttl"), lifetime.alias("expire_at"))
 
 
-@query(f"WITH {_SET_SQL} SELECT key, arg_max(value, seq) AS value, arg_max(CAST(expire_at AS VARCHAR), seq) FILTER (NOT keepttl AND expire_at IS NOT NULL AND seq = z) AS expire_at FROM (SELECT *, max(CASE WHEN NOT keepttl THEN seq END) OVER (PARTITION BY key) AS z FROM a) GROUP BY 1")
+@query(f"WITH {_SET_SQL} SELECT key, arg_max(value, seq) AS value, strftime(arg_max(expire_at, seq) FILTER (NOT keepttl AND seq = z), '%Y-%m-%d %H:%M:%S.%f') AS expire_at FROM (SELECT *, max(CASE WHEN NOT keepttl THEN seq END) OVER (PARTITION BY key) AS z FROM a) GROUP BY 1")
 def str_set_options(t: Tables) -> DataFrame:
     return strings.set_options(_sets(t), ["key"]).select("key", "value", F.date_format("expire_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("expire_at"))
 
