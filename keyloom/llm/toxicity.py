@@ -29,7 +29,8 @@ SAMPLE = {1: 4000, 0: 8000}
 FEATURES = {1: 4096, 0: 1024}
 MIN_ROWS = 3
 THRESHOLD = 0.7
-RIDGE, FAIRNESS = 1e-5, 2.0
+#: Ridge of features typical of toxic rows and of those typical of clean ones: the latter need more evidence to hide an insult.
+RIDGE, CLEAN_RIDGE, FAIRNESS = 1e-5, 1e-3, 2.0
 #: Neutral names of groups that are swapped for one another.
 IDENTITY = (
     "women men girls boys gay straight lesbian bisexual transgender black white asian latino "
@@ -69,8 +70,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, bound: dict[int, int]) -> Data
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # one text of a repeated id
 
 
-def _chosen(sample: DataFrame, n: tuple[int, int], limits: dict[int, int]) -> list[str]:
-    """The features whose share in one class exceeds that in the other most, by the chi-square statistic, for either class."""
+def _chosen(sample: DataFrame, n: tuple[int, int], limits: dict[int, int]) -> tuple[list[str], list[str]]:
+    """The features whose share among toxic rows exceeds that among clean ones most, by the chi-square statistic, and the other way round."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,7 +91,8 @@ def _chosen(sample: DataFrame, n: tuple[int, int], limits: dict[int, int]) -> li
     lean = a * clean - b * bad
     typical = (lean * lean / ((a + b) * (clean + bad - a - b + 1.0))).desc()
     sides = ((a >= MIN_ROWS) & (lean > 0), limits[1]), ((b >= MIN_ROWS) & (lean < 0), limits[0])
-    return [r["f"] for side, limit in sides for r in counts.where(side).orderBy(typical, "f").limit(limit).collect()]
+    toxic, clean_ones = ([r["f"] for r in counts.where(side).orderBy(typical, "f").limit(limit).collect()] for side, limit in sides)
+    return toxic, clean_ones
 
 
 def _rows(sample: DataFrame, vocabulary: list[str], identity: list[str]) -> pa.Table:
@@ -115,7 +117,7 @@ def _csr(rows: pa.Array | list) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(rows), dtype=np.int32), pc.list_value_length(rows).to_numpy(zero_copy_only=False)), rows.flatten().to_numpy(zero_copy_only=False)
 
 
-def fit_weights(x: pa.Array | list, y: np.ndarray, swaps: pa.Array | list, size: int, ridge: float = RIDGE, fairness: float = FAIRNESS, steps: int = 600) -> np.ndarray:
+def fit_weights(x: pa.Array | list, y: np.ndarray, swaps: pa.Array | list, size: int, ridge: float | np.ndarray = RIDGE, fairness: float = FAIRNESS, steps: int = 600) -> np.ndarray:
     """Weights of ``size`` features and the bias, by Adam over the whole sample; ``x`` and ``swaps`` are lists in flat arrays."""
     w = np.zeros(size + 1)
     r, c = _csr(x)
@@ -150,10 +152,11 @@ def fit(docs: DataFrame, labels: DataFrame, bound: dict[int, int] | None = None,
         n = {int(r["toxic"]): r["count"] for r in sample.groupBy("toxic").count().collect()}
         if not n.get(0) or not n.get(1):
             return {}, 40.0 if n.get(1) else -40.0
-        vocabulary = sorted({*_chosen(sample, (n[0], n[1]), FEATURES), *identity})
+        toxic, clean = _chosen(sample, (n[0], n[1]), FEATURES)
+        vocabulary, shy = sorted({*toxic, *clean, *identity}), set(clean) - set(identity)
         rows = _rows(sample, vocabulary, list(identity)).combine_chunks()
     x, swaps = (rows[c].combine_chunks() if rows[c].num_chunks != 1 else rows[c].chunk(0) for c in ("x", "swaps"))
-    w = fit_weights(x, rows["toxic"].to_numpy().astype(float), swaps, len(vocabulary))
+    w = fit_weights(x, rows["toxic"].to_numpy().astype(float), swaps, len(vocabulary), np.array([CLEAN_RIDGE if f in shy else RIDGE for f in vocabulary] + [RIDGE]))
     return dict(zip(vocabulary, w[:-1].tolist(), strict=True)), float(w[-1])
 
 
