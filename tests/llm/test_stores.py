@@ -108,7 +108,7 @@ def brute_vectors(rows, cosine=0.95):
     return sorted(out + [(ok[k][0], len(links[k]), seen[k], seen[k] == ok[k][0]) for k in links], key=str)
 
 
-@pytest.mark.parametrize("hashes", [None, 2])
+@pytest.mark.parametrize("hashes", [None, 2, 3, 5])
 def test_vectors_equal_brute_force(spark, monkeypatch, hashes):
     monkeypatch.setattr(embed_dup, "HOT", 20)
     monkeypatch.setattr(embed_dup, "BLOCK", 16)
@@ -125,6 +125,22 @@ def test_vectors_equal_brute_force(spark, monkeypatch, hashes):
     assert embed_dup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3, 4, 5])
+@pytest.mark.parametrize("width", [5, 64, 100])
+def test_pairs_at_the_threshold_meet(hashes, width):
+    """Fresh pairs at 0.95 exactly: all meet with the tables used, and with a third of them, whose chance of a miss is 1e-3, nearly all."""
+    rng = np.random.default_rng(11)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 1000, width)))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    tables = embed_dup.tables_needed(hashes, width)
+    a, b = (np.concatenate([embed_dup.bucket_keys(v[lo : lo + 500], hashes, tables, embed_dup.PROBES) for lo in range(0, 1000, 500)]) for v in (x, y))
+    met = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
+    assert met.any(axis=1).all()
+    if width >= 16:
+        assert (~met[:, : -(-tables // 3)].any(axis=1)).mean() < 0.004
+
+
 def test_sql_gives_the_same(spark, sf_dir):
     import duckdb
 
