@@ -34,24 +34,54 @@ def deliver(entries: DataFrame, consumers: list[str], count: int, key: str = "ke
     )
 
 
-def blocking_pop(actions: DataFrame) -> DataFrame:
-    """BLPOP on a stream of actions (key, at, kind, value): ``push`` rows meet ``pop`` rows (value names the waiter) in arrival order.
-
-    A push of several values is several rows; all are pushed, then the oldest
-    waiters are served. Output: (key, waiter, value).
+def blocking_pop(actions: DataFrame, end: str = "left") -> DataFrame:
+    """BLPOP, BRPOP, BZPOPMIN and BZPOPMAX on a stream of actions (key, at, kind, value), served in arrival order.
+
+    ``push`` adds a value at the right end, ``lpush`` at the left; ``pop`` rows
+    name a waiter in value. ``end`` is left, right, min or max; for the latter
+    two ``push`` sets the score (a column of that name) of a member, and equal
+    scores go by member; a member without a score is left out. Rows of one ``at`` take effect together: all are pushed,
+    then the oldest waiters are served. With a column ``until`` (same clock as
+    ``at``, null for no limit) a waiter gives up at that time, which shows as a
+    null value when the next action of the key arrives.
+    Output: (key, waiter, value).
     """
+    if end not in ("left", "right", "min", "max"):
+        raise ValueError(f"end must be left, right, min or max, not {end!r}")
+    ranked, has_until = end in ("min", "max"), "until" in actions.columns
+    score = F.col("score").cast("double") if ranked else F.lit(None).cast("double")
+    until = F.col("until").cast("long") if has_until else F.lit(None).cast("long")
+    never = 2**63 - 1
+
+    def take(items: list[tuple[float, str]]) -> str:
+        if ranked:
+            best = (min if end == "min" else max)(items)
+            items.remove(best)
+            return best[1]
+        return items.pop(0 if end == "left" else -1)[1]
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        items, waiters = (list(x) for x in state.get) if state.exists else ([], [])
+        values, scores, names, untils = state.get if state.exists else ([], [], [], [])
+        items, waiters = list(zip(scores, values, strict=True)), list(zip(names, untils, strict=True))
         out = []
-        for kind, value in pd.concat(list(batches)).sort_values("at", kind="stable")[["kind", "value"]].itertuples(index=False):
-            (items if kind == "push" else waiters).append(value)
+        for at, rows in pd.concat(list(batches)).sort_values("at", kind="stable").groupby("at", sort=True):
+            out += [(keys[0], w, None) for w, limit in waiters if limit <= at]
+            waiters = [w for w in waiters if w[1] > at]
+            for kind, value, s, limit in zip(rows["kind"], rows["value"], rows["score"], rows["until"], strict=True):
+                if kind == "pop":
+                    waiters.append((value, never if pd.isna(limit) else int(limit)))
+                elif ranked and pd.notna(s):
+                    items = [i for i in items if i[1] != value] + [(float(s), value)]
+                elif not ranked:
+                    items.insert(0 if kind == "lpush" else len(items), (0.0, value))
             while items and waiters:
-                out.append((keys[0], waiters.pop(0), items.pop(0)))
-        state.update((items, waiters))
+                out.append((keys[0], waiters.pop(0)[0], take(items)))
+        state.update(([v for _, v in items], [s for s, _ in items], [w for w, _ in waiters], [u for _, u in waiters]))
         yield pd.DataFrame(out, columns=["key", "waiter", "value"])
 
-    return actions.groupBy("key").applyInPandasWithState(run, "key string, waiter string, value string", "items array<string>, waiters array<string>", "append", GroupStateTimeout.NoTimeout)
+    return actions.select("key", F.col("at").cast("long").alias("at"), "kind", "value", score.alias("score"), until.alias("until")).groupBy("key").applyInPandasWithState(
+        run, "key string, waiter string, value string", "items array<string>, scores array<double>, waiters array<string>, untils array<long>", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def counters(log: DataFrame, keys: list[str], delta: str) -> DataFrame:

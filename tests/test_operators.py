@@ -273,6 +273,26 @@ def test_streaming_pop(spark, tmp_path):
     assert sorted(map(tuple, got)) == [("k", "w1", "a"), ("k", "w2", "b")]
 
 
+@pytest.mark.parametrize(
+    "end, want",
+    [
+        ("left", [("k", "w1", "c"), ("k", "w3", "a")]),
+        ("right", [("k", "w1", "b"), ("k", "w3", "a")]),
+        ("min", [("k", "w1", "a"), ("k", "w3", "b")]),
+        ("max", [("k", "w1", "c"), ("k", "w3", "b")]),
+    ],
+)
+def test_streaming_pop_ends(spark, tmp_path, end, want):
+    schema = "key string, at long, kind string, value string, score double, until long"
+    rows = [("k", 1, "pop", "w1", None, None), ("k", 2, "push", "a", 1.0, None), ("k", 2, "push", "b", 2.0, None), ("k", 2, "lpush", "c", 3.0, None)]
+    rows += [("k", 4, "pop", "w3", None, None)]
+    late = [("j", 1, "pop", "w2", None, 5), ("j", 9, "push", "z", 1.0, None)]
+    df = spark.createDataFrame(rows + late, schema).coalesce(1)
+    got = run_stream(spark, df, df.schema, tmp_path, lambda a: groups.blocking_pop(a, end), "popped_" + end)
+    assert sorted(tuple(r) for r in got if r["key"] == "k") == want
+    assert [tuple(r) for r in got if r["key"] == "j"] == [("j", "w2", None)]
+
+
 def test_entry_points(spark):
     import __spark_entry__ as e
 
